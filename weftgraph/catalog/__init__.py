@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["links", "graphs"]
+AREAS = ["links", "graphs", "search", "safety"]
 
 
 def _merged(attribute: str) -> dict:

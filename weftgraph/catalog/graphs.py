@@ -63,7 +63,7 @@ def api_map(spark, sf_dir):
 
 
 def api_map_filtered(spark, sf_dir):
-    return G.api_map(star_graph(spark, sf_dir), "BRAND-1", unmatched_only=True)
+    return G.api_map(star_graph(spark, sf_dir), "/API/N", unmatched_only=True)
 
 
 def api_map_totals(spark, sf_dir):
@@ -258,7 +258,7 @@ ORACLES = {
     "api_contracts": graph_sql(f""", {_HANDLER} SELECT DISTINCT n.node_id AS endpoint_id, n.http_method, n.path, n.repo, h.handler_id, h.handler, c.consumer_id, c.consumer
         FROM nodes n LEFT JOIN handler h ON h.endpoint_id = n.node_id LEFT JOIN consumer c ON c.endpoint_id = n.node_id WHERE n.node_type = 'APIEndpoint' AND n.repo = 'back'"""),
     "api_map": graph_sql(_MAP + " SELECT * FROM m"),
-    "api_map_filtered": graph_sql(_MAP + " SELECT * FROM m WHERE contains(lower(path), 'brand-1') AND NOT has_consumers"),
+    "api_map_filtered": graph_sql(_MAP + " SELECT * FROM m WHERE contains(lower(path), '/api/n') AND NOT has_consumers"),
     "api_map_totals": graph_sql(_MAP + " SELECT count(*) AS total, count(*) FILTER (has_consumers) AS matched, count(*) FILTER (NOT has_consumers) AS unmatched FROM m"),
     "endpoints_without_consumers": graph_sql("""SELECT node_id AS endpoint_id, http_method, path, name AS endpoint_name, repo FROM nodes n WHERE node_type = 'APIEndpoint'
         AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.node_id AND e.rel_type = 'CONSUMES') ORDER BY path, node_id LIMIT 20"""),

@@ -60,6 +60,10 @@ NODE_SQL = """
          CAST(o_orderkey AS INT), CAST(o_orderkey + 20 AS INT), concat('Order', o_orderkey, '(status: ', o_orderstatus, ')'),
          o_orderstatus = 'O', NULL, NULL
   FROM orders
+  UNION ALL
+  SELECT concat('endpoint:', n_nationkey), 'APIEndpoint', concat('GET /api/nations/', n_nationkey), 'back', n_name, 1, 9, '', false,
+         'GET', concat('/api/nations/', n_nationkey)
+  FROM nation
 """
 EDGE_SQL = """
   SELECT concat('region:', n_regionkey) AS src, 'CONTAINS' AS rel_type, concat('nation:', n_nationkey) AS dst FROM nation
@@ -71,6 +75,8 @@ EDGE_SQL = """
   UNION ALL SELECT DISTINCT concat('order:', l_orderkey), 'CONSUMES', concat('part:', l_partkey) FROM lineitem
   UNION ALL SELECT concat('customer:', o_custkey), 'CALLS', concat('order:', o_orderkey) FROM orders
   UNION ALL SELECT DISTINCT concat('order:', l_orderkey), 'CALLS', concat('supplier:', l_suppkey) FROM lineitem
+  UNION ALL SELECT concat('supplier:', a.s_suppkey), 'CALLS', concat('supplier:', b.s_suppkey)
+            FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1
 """
 
 
