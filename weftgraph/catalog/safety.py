@@ -127,7 +127,7 @@ _SECRETS = f"{_T}, sec AS ({_RULES})"
 _ENTROPY = f"""lit AS (SELECT doc_id, unnest(l) AS literal, generate_subscripts(l, 1) - 1 AS pos FROM (
      SELECT doc_id, regexp_extract_all(content, '{_q(R.LITERAL_PATTERN)}', 1) AS l FROM t)),
    chars AS (SELECT doc_id, pos, literal, unnest(string_split(literal, '')) AS ch FROM lit WHERE NOT regexp_matches(literal, '{_EXCLUDED}')),
-   freq AS (SELECT doc_id, pos, literal, ch, count(*)::DOUBLE / length(literal) AS p FROM chars WHERE ch <> '' GROUP BY ALL),
+   freq AS (SELECT doc_id, pos, literal, ch, count(*)::DOUBLE / length(literal) AS p FROM chars WHERE ch <> '' GROUP BY doc_id, pos, literal, ch),
    ent AS (SELECT doc_id, pos, literal, -sum(p * log2(p)) AS entropy FROM freq GROUP BY doc_id, pos, literal HAVING -sum(p * log2(p)) > 4.5)"""
 _BINARY = r"""bin AS (SELECT doc_id, CASE WHEN contains(content, chr(0)) THEN 'contains null bytes' ELSE 'high concentration of control characters' END AS reason FROM t
    WHERE contains(content, chr(0)) OR (length(content) - length(regexp_replace(content, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')))::DOUBLE / length(content) > 0.1)"""
