@@ -176,7 +176,7 @@ ORACLES = {
        SELECT session_id, event_id, allowed, current FROM f""",
     "token_budget": _BUDGET, "token_budget_blocks": _BUDGET,
     "usage_summary": _COUNTS + """ SELECT s.session_id, l.resource, l.lim AS "limit", count(d.event_id) FILTER (allowed) AS current, greatest(0, l.lim - count(d.event_id) FILTER (allowed)) AS remaining
-       FROM (SELECT DISTINCT session_id FROM d) s CROSS JOIN lim l LEFT JOIN d ON d.session_id = s.session_id AND d.resource = l.resource GROUP BY ALL""",
+       FROM (SELECT DISTINCT session_id FROM d) s CROSS JOIN lim l LEFT JOIN d ON d.session_id = s.session_id AND d.resource = l.resource GROUP BY s.session_id, l.resource, l.lim""",
     "session_cost": _LOG + """ SELECT session_id, model, sum(tokens) AS tokens, round(sum(tokens) / 1000000.0::DOUBLE * CASE model WHEN 'gpt-4o' THEN 7.5::DOUBLE WHEN 'gpt-4o-mini' THEN 0.3::DOUBLE ELSE 10.0::DOUBLE END, 4) AS usd
        FROM log GROUP BY session_id, model""",
     "denials": _COUNTS + """ SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS timestamp, CAST(session_id AS VARCHAR) AS session_id, 'RATE_LIMIT_EXCEEDED' AS event_type,

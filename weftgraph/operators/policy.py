@@ -22,10 +22,19 @@ def _verdict(verdict: str, category: Column | str | None, reasoning: Column | st
                     as_col(reasoning).alias("reasoning"), F.lit(None).cast("string").alias("sanitized_query"))
 
 
+def has_risk_phrase(query: Column) -> Column:
+    return F.lower(query).rlike("|".join(p.replace(".", "[.]") for p, _, _ in R.RISK_PHRASES))
+
+
 def quick_risk(query: Column) -> Column:
-    """Verdict struct of the first phrase found, NULL when no phrase is found."""
+    """Verdict struct of the first phrase found, NULL when no phrase is found.
+
+    One alternation settles the common case of no hit; only hits look for the first phrase in rule order.
+    """
     low = F.lower(query)
-    return first_hit([(low.contains(p), _verdict("blocked", c, f"{why}: '{p}'")) for p, c, why in R.RISK_PHRASES])
+    index = F.when(has_risk_phrase(query), first_hit([(low.contains(p), F.lit(i)) for i, (p, _, _) in enumerate(R.RISK_PHRASES)]))
+    verdicts = F.array(*[_verdict("blocked", c, f"{why}: '{p}'") for p, c, why in R.RISK_PHRASES])
+    return F.get(verdicts, index)
 
 
 # classify_fn takes a batch of texts and returns (verdict, category, reasoning, sanitized) per text
@@ -36,10 +45,9 @@ def guard(queries: DataFrame, query: str = "query", enabled: bool = True, classi
     """Adds verdict, risk_category, reasoning, sanitized_query. Only texts without a phrase reach the classifier."""
     if not enabled:
         return queries.withColumn("v", _verdict("safe", None, "IntentGuard is disabled")).select("*", "v.*").drop("v")
-    ruled = queries.withColumn("v", quick_risk(F.col(query)))
     if classify_fn is None:
         safe = _verdict("safe", None, "no rule matched")
-        return ruled.withColumn("v", F.coalesce("v", safe)).select("*", "v.*").drop("v")
+        return queries.withColumn("v", quick_risk(F.col(query))).withColumn("v", F.coalesce("v", safe)).select("*", "v.*").drop("v")
     names = ["verdict", "risk_category", "reasoning", "sanitized_query"]
     schema = T.StructType(queries.schema.fields + [T.StructField(n, T.StringType()) for n in names])
 
@@ -54,8 +62,9 @@ def guard(queries: DataFrame, query: str = "query", enabled: bool = True, classi
                     out.append(("blocked", "social_engineering", f"Classification failed: {str(e)[:100]}. Blocking for safety.", None))
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=names, dtype=object)], axis=1)
 
-    hit = ruled.filter("v is not null").select("*", "v.*").drop("v")
-    return hit.unionByName(ruled.filter("v is null").drop("v").mapInPandas(classify, schema))
+    risky = has_risk_phrase(F.col(query))
+    hit = queries.filter(risky).withColumn("v", quick_risk(F.col(query))).select("*", "v.*").drop("v")
+    return hit.unionByName(queries.filter(~F.coalesce(risky, F.lit(False))).mapInPandas(classify, schema))
 
 
 def guard_events(guarded: DataFrame, query: str = "query", ts: str = "ts", session: str = "session_id", actor: str = "system") -> DataFrame:

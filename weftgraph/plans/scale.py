@@ -57,7 +57,8 @@ def group_shape(df: DataFrame, keys: list[str]) -> tuple[int, int]:
 
 def range_blocks(df: DataFrame, keys: list[str], order: list[str], rows: int, max_rows: int) -> DataFrame:
     """Split by (keys, order) ranges so that a hot key spans several blocks; ``_block`` follows the order."""
-    n = max(2, -(-rows // max(1, max_rows // 2)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(parts, -(-2 * rows // max_rows)) if max_rows >= 1000 else parts  # tiny bounds only force the path in tests
     ranged = df.repartitionByRange(n, *keys, *order).withColumn("_block", F.spark_partition_id())
     return durable(ranged, "blocks")
 
