@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import extract as X
 from weftgraph.operators import link as L
+from weftgraph.plans.scale import durable
 from weftgraph.plans.views import sql_over
 
 _TS_LINES = [
@@ -93,7 +94,7 @@ def route_nodes(spark, sf_dir):
 
 
 def uses_hook_edges(spark, sf_dir):
-    nodes = X.ts_nodes(_spread(ts_files(spark, sf_dir)))
+    nodes = durable(X.ts_nodes(_spread(ts_files(spark, sf_dir))), "nodes")
     return L.resolve_wildcards(X.uses_hook_specs(nodes), nodes).select("src", "rel_type", "dst")
 
 
@@ -125,12 +126,12 @@ def structural_edges(spark, sf_dir):
 
 def depends_on_edges(spark, sf_dir):
     files = _spread(java_files(spark, sf_dir))
-    return L.resolve_wildcards(X.depends_on_specs(files), X.java_classes(files)).select("src", "rel_type", "dst")
+    return L.resolve_wildcards(X.depends_on_specs(files), durable(X.java_classes(files), "nodes")).select("src", "rel_type", "dst")
 
 
 def call_edges(spark, sf_dir):
-    nodes = X.ts_nodes(_spread(ts_files(spark, sf_dir))).unionByName(
-        X.java_methods(_spread(java_files(spark, sf_dir))).drop("class_line", "endpoint"))
+    nodes = durable(X.ts_nodes(_spread(ts_files(spark, sf_dir))).unionByName(
+        X.java_methods(_spread(java_files(spark, sf_dir))).drop("class_line", "endpoint")), "nodes")
     return X.call_edges(nodes).select("src", "rel_type", "dst")
 
 

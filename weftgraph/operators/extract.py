@@ -15,7 +15,7 @@ from weftgraph.functions import rules as R
 from weftgraph.functions.scalar import dir_name
 
 ID = r"[A-Za-z_$][A-Za-z0-9_$]*"
-ANNOTATION = r"@[A-Za-z_][A-Za-z0-9_.]*(?:\s*\((?:[^()\"']|\"[^\"]*\"|'[^']*'|\([^()]*\))*\))?"
+ANNOTATION = r"@[A-Za-z_][A-Za-z0-9_.]*(?:\s*\((?:[^()\"']++|\"[^\"]*+\"|'[^']*+'|\([^()]*+\))*+\))?"
 MODIFIERS = r"(?:(?:public|protected|private|static|final|abstract|synchronized|default)\s+)*"
 BODY_LIMIT = 3000
 CALL_KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "function", "typeof", "new", "super", "await", "import", "synchronized"]
@@ -30,7 +30,7 @@ TS_DECLARATIONS = [
 _LEAD = rf"^\s*(?:{ANNOTATION}\s+)*{MODIFIERS}"
 JAVA_DECLARATIONS = [
     ("class", rf"{_LEAD}class\s+({ID})", 1),
-    ("method", rf"{_LEAD}(?:<[^>]+>\s+)?(?!return\b|new\b|else\b|throw\b|class\b|case\b)[A-Za-z_][\w.<>\[\], ?]*\s+({ID})\s*\(", 1),
+    ("method", rf"{_LEAD}(?:<[^>]+>\s+)?(?!(?:return|new|else|throw|class|case|public|protected|private|static|final|abstract|synchronized|default)\b)[A-Za-z_][\w.<>\[\], ?]*\s+({ID})\s*\(", 1),
     ("constructor", rf"{_LEAD}([A-Z][A-Za-z0-9_$]*)\s*\(", 1),
 ]
 
@@ -103,15 +103,20 @@ def _brackets() -> Column:
     return F.transform("lines", one)
 
 
+def staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns computed once per row: a generator in between keeps the optimizer from copying them into lambdas."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _spans(files: DataFrame, declarations, brace_kinds: list[str], candidate: str) -> DataFrame:
     """Files with ``lines`` and ``decls``: array of declarations with their last line ``end``."""
-    lined = files.withColumn("lines", F.split("content", "\n"))
+    lined = staged(files, lines=F.split("content", "\n"))
     labelled, found = _entities(declarations, brace_kinds, candidate)
-    marked = lined.withColumns({"labelled": labelled, "brackets": _brackets()}).withColumn("found", found)
+    marked = staged(staged(lined, labelled=labelled, brackets=_brackets()), found=found)
     ended = F.transform("found", lambda d: F.struct(
         d["kind"].alias("kind"), d["name"].alias("name"), d["at"].alias("at"), d["first"].alias("first"),
         d["doc_from"].alias("doc_from"), d["doc_to"].alias("doc_to"), _end_of(d, brace_kinds).alias("end")))
-    return marked.withColumn("decls", ended).drop("labelled", "brackets", "found")
+    return staged(marked, decls=ended).drop("labelled", "brackets", "found")
 
 
 def _text(first: Column, last: Column) -> Column:
@@ -146,8 +151,8 @@ def separately_exported(content: Column) -> Column:
 
 def _signature(name: Column, text: Column) -> Column:
     head = F.regexp_replace(text, rf"(?s)\A.*?(?=\(|{ID}\s*=>)", "")
-    nested = r"(?s)\A(\((?:[^()]|\([^()]*\))*\))\s*(:\s*(?:[^{=]|=(?!>)|\{[^}]*\}(?=\s*(?:\{|=>)))*[^{=\s])?"
-    params, returns = F.regexp_extract(head, nested, 1), F.regexp_extract(head, nested, 2)
+    nested = r"(?s)\A(\((?:[^()]++|\([^()]*+\))*+\))\s*(:(?:[^{=]++|=(?!>)|\{[^}]*+\}(?=\s*(?:\{|=>)))*+)?"
+    params, returns = F.regexp_extract(head, nested, 1), F.rtrim(F.regexp_extract(head, nested, 2))
     return F.concat(name, F.when(params == "", F.lit("()")).otherwise(params), returns)
 
 
@@ -165,7 +170,7 @@ def ts_nodes(files: DataFrame) -> DataFrame:
     name, d = F.col("d.name"), F.col("d")
     lead = rf"(?s)\A\s*(?:export\s+)?(?:default\s+)?(?:(?:const|let|var)\s+{ID}\s*(?::[^=]+)?=\s*)?"
     text = F.regexp_replace(F.regexp_replace(_text(d["at"], d["end"]), lead, ""), r"(?s);\s*\z", "")
-    kept = kept.withColumn("text", text)
+    kept = staged(kept, text=text)
     is_function = F.col("d.kind").isin("arrow", "function")
     kind = F.when(is_function, classify_function(name, F.col("text"))).when(F.col("d.kind") == "type", "Type").otherwise("Interface")
     signature = F.when(is_function, _signature(name, F.col("text"))).otherwise(F.substring("text", 1, 500))
@@ -321,7 +326,7 @@ def java_classes(files: DataFrame) -> DataFrame:
 def _header(d: Column) -> Column:
     plain = F.regexp_replace(F.get("lines", d["at"]), rf"^\s*(?:{ANNOTATION}\s+)*", "")
     rest = F.when(d["end"] > d["at"], F.concat(F.lit("\n"), _text(d["at"] + 1, d["end"]))).otherwise("")
-    return F.regexp_extract(F.concat(plain, rest), r"(?s)\A((?:[^{;\"]|\"[^\"]*\")*)", 1)
+    return F.regexp_extract(F.concat(plain, rest), r"(?s)\A((?:[^{;\"]++|\"[^\"]*+\")*+)", 1)
 
 
 def _parameters(header: Column) -> Column:
@@ -395,8 +400,8 @@ def call_edges(nodes: DataFrame) -> DataFrame:
     here = targets.groupBy("repo", "file_path", "callee").agg(F.min_by("node_id", "start_line").alias("near"))
     anywhere = targets.groupBy("repo", "callee").agg(F.min_by("node_id", F.struct("file_path", "start_line")).alias("far"))
     found = callers.join(anywhere, ["repo", "callee"]).join(here, ["repo", "file_path", "callee"], "left")
-    return found.select("src", F.lit("CALLS").alias("rel_type"), F.coalesce("near", "far").alias("dst"),
-                        F.create_map().cast("map<string,string>").alias("props")).distinct()
+    pairs = found.select("src", F.coalesce("near", "far").alias("dst")).distinct()
+    return pairs.select("src", F.lit("CALLS").alias("rel_type"), "dst", F.create_map().cast("map<string,string>").alias("props"))
 
 
 def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -418,5 +423,5 @@ def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
         F.regexp_extract("path", r"([^/]+)\.java$", 1).alias("cls"))
     classes = roots.select("repo", F.concat_ws("/", F.nullif("pkg", F.lit("")), "cls").alias("module"), "target").groupBy("repo", "module").agg(F.min("target").alias("target"))
     both = ts.select("repo", "source_file", "target").unionByName(java.join(classes, ["repo", "module"]).select("repo", "source_file", "target"))
-    return both.select(F.concat_ws(":", "repo", "source_file").alias("src"), F.lit("IMPORTS").alias("rel_type"),
-                       F.concat_ws(":", "repo", "target").alias("dst"), F.create_map().cast("map<string,string>").alias("props")).distinct()
+    return both.distinct().select(F.concat_ws(":", "repo", "source_file").alias("src"), F.lit("IMPORTS").alias("rel_type"),
+                                  F.concat_ws(":", "repo", "target").alias("dst"), F.create_map().cast("map<string,string>").alias("props"))
