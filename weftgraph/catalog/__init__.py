@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["links", "graphs", "search", "safety", "policies", "talks", "edits", "chunks", "code"]
+AREAS = ["links", "graphs", "search", "safety", "policies", "talks", "edits", "chunks", "code", "stores"]
 
 
 def _merged(attribute: str) -> dict:

@@ -72,24 +72,34 @@ def hashed_embedding(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (chunk_pieces, chunk_parents, embed_cache_split, embed_cached, hashed_terms, hashed_embedding)}
 
-_NODE = f"""WITH RECURSIVE n AS (SELECT 'doc' || doc_id AS id, 'd' || doc_id AS name, 'f/' || source AS file_path, n_chars, lang, source,
+def node_sql(max_tokens: int) -> str:
+    return f"""WITH RECURSIVE n AS (SELECT 'doc' || doc_id AS id, 'd' || doc_id AS name, 'f/' || source AS file_path, n_chars, lang, source,
    CASE WHEN n_chars % 7 = 0 THEN '' ELSE lang END AS sig, CASE WHEN n_chars % 3 = 0 THEN '/** ' || text ELSE '' END AS doc, CASE WHEN n_chars % 7 = 0 THEN '' ELSE text END AS body FROM documents),
  h AS (SELECT *, '// Function: ' || name || chr(10) || '// File: ' || file_path || chr(10) || '// Lines: 1-' || n_chars AS head,
    concat_ws(chr(10), CASE WHEN sig <> '' THEN '// Signature: ' || sig END, nullif(doc, ''), nullif(body, '')) AS raw FROM n),
  c AS (SELECT *, CASE WHEN regexp_replace(raw, '\\s', '', 'g') = '' THEN head || chr(10) || '// (no signature, docstring, or body captured)' ELSE raw END AS content FROM h),
  t AS (SELECT *, CAST(ceil(length(content) / 4.0) AS INT) AS tokens FROM c),
- ln AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT id, string_split(content, chr(10)) AS l FROM t WHERE tokens > {MAX_TOKENS})),
+ ln AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT id, string_split(content, chr(10)) AS l FROM t WHERE tokens > {max_tokens})),
  lt AS (SELECT *, CAST(ceil((length(line) + 1) / 4.0) AS INT) AS lt FROM ln),
  pk AS (SELECT id, i, lt AS cur, 0 AS idx FROM lt WHERE i = 1
-   UNION ALL SELECT l.id, l.i, CASE WHEN p.cur + l.lt > {MAX_TOKENS} THEN l.lt ELSE p.cur + l.lt END, CASE WHEN p.cur + l.lt > {MAX_TOKENS} THEN p.idx + 1 ELSE p.idx END
+   UNION ALL SELECT l.id, l.i, CASE WHEN p.cur + l.lt > {max_tokens} THEN l.lt ELSE p.cur + l.lt END, CASE WHEN p.cur + l.lt > {max_tokens} THEN p.idx + 1 ELSE p.idx END
    FROM pk p JOIN lt l ON l.id = p.id AND l.i = p.i + 1),
  pc AS (SELECT id, idx, string_agg(line, chr(10) ORDER BY i) AS content, sum(lt) AS tokens FROM pk JOIN lt USING (id, i) GROUP BY id, idx),
- pieces AS (SELECT id, 0 AS idx, content, tokens, CAST(NULL AS VARCHAR) AS parent FROM t WHERE tokens <= {MAX_TOKENS}
+ pieces AS (SELECT id, 0 AS idx, content, tokens, CAST(NULL AS VARCHAR) AS parent FROM t WHERE tokens <= {max_tokens}
    UNION ALL SELECT pc.id, idx, CASE WHEN regexp_replace(pc.content, '\\s', '', 'g') = '' THEN head || chr(10) || '// (no signature, docstring, or body captured)' ELSE pc.content END, pc.tokens, pc.id || ':parent' FROM pc JOIN t USING (id))"""
+
+
+_NODE = node_sql(MAX_TOKENS)
+
+
+def parent_sql(max_tokens: int) -> str:
+    return f"""s AS (SELECT id, lang, source, concat_ws(chr(10), head, CASE WHEN sig <> '' THEN '// Signature: ' || sig END, CASE WHEN length(doc) > 500 THEN substr(doc, 1, 500) || '...' ELSE nullif(doc, '') END,
+          CASE WHEN n_chars % 2 = 0 THEN '// Annotations: ' || lang || ', ' || source END) AS content FROM t WHERE tokens > {max_tokens})"""
+
+
 ORACLES = {
     "chunk_pieces": _NODE + " SELECT id || ':' || idx AS chunk_id, sha256(p.content) AS content_hash, p.tokens AS token_count, parent AS parent_chunk_id, CASE WHEN n_chars % 2 = 0 THEN 'true' ELSE 'false' END AS exported FROM pieces p JOIN t USING (id)",
-    "chunk_parents": _NODE + """, s AS (SELECT id, lang, concat_ws(chr(10), head, CASE WHEN sig <> '' THEN '// Signature: ' || sig END, CASE WHEN length(doc) > 500 THEN substr(doc, 1, 500) || '...' ELSE nullif(doc, '') END,
-          CASE WHEN n_chars % 2 = 0 THEN '// Annotations: ' || lang || ', ' || source END) AS content FROM t WHERE tokens > """ + str(MAX_TOKENS) + """)
+    "chunk_parents": _NODE + ", " + parent_sql(MAX_TOKENS) + """
         SELECT id || ':parent' AS chunk_id, sha256(content) AS content_hash, CAST(ceil(length(content) / 4.0) AS INT) AS token_count, (SELECT CAST(max(idx) + 1 AS VARCHAR) FROM pk WHERE pk.id = s.id) AS total_chunks, lang AS kind FROM s""",
     "embed_cache_split": "SELECT sha256(text) AS content_hash, bool_or(lang = 'en' AND n_chars % 2 = 0) AS cached FROM documents GROUP BY 1",
     "embed_cached": """WITH k AS (SELECT DISTINCT text FROM documents WHERE lang = 'en' AND n_chars % 2 = 0)
