@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from weftgraph.functions import scalar as X
 from weftgraph.operators import chunk as C
 from weftgraph.operators import embed as E
+from weftgraph.plans.scale import spread
 from weftgraph.plans.views import table
 
 MAX_TOKENS = 120
 
 
 def entities(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(
         F.concat(F.lit("doc"), "doc_id").alias("node_id"), F.lit("Function").alias("node_type"), F.concat(F.lit("d"), "doc_id").alias("name"),
         F.concat(F.lit("f/"), "source").alias("file_path"), F.col("source").alias("repo"), F.col("lang").alias("language"),
@@ -39,7 +40,7 @@ def chunk_parents(spark, sf_dir):
 
 
 def _texts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _cache(spark, sf_dir):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import extract as X
 from weftgraph.operators import link as L
-from weftgraph.plans.scale import durable
+from weftgraph.plans.scale import durable, spread
 from weftgraph.plans.views import sql_over
 
 _TS_LINES = [
@@ -70,13 +70,8 @@ def java_files(spark, sf_dir):
     return sql_over(spark, sf_dir, JAVA_SQL, ["supplier"])
 
 
-def _spread(df):
-    """Wide sources so that a single small parquet file still uses every core."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, "path")
-
-
 def ts_entities(spark, sf_dir):
-    n = X.ts_nodes(_spread(ts_files(spark, sf_dir)))
+    n = X.ts_nodes(spread(ts_files(spark, sf_dir)))
     return n.select("node_id", "node_type", "name", "file_path", "start_line", "end_line", "signature", "exported", "docstring",
                     F.length("body").alias("body_length"), F.col("props")["is_async"].alias("is_async"), F.col("props")["has_jsx"].alias("has_jsx"))
 
@@ -94,24 +89,24 @@ def route_nodes(spark, sf_dir):
 
 
 def uses_hook_edges(spark, sf_dir):
-    nodes = durable(X.ts_nodes(_spread(ts_files(spark, sf_dir))), "nodes")
+    nodes = durable(X.ts_nodes(spread(ts_files(spark, sf_dir))), "nodes")
     return L.resolve_wildcards(X.uses_hook_specs(nodes), nodes).select("src", "rel_type", "dst")
 
 
 def java_classes(spark, sf_dir):
-    return X.java_classes(_spread(java_files(spark, sf_dir))).select(
+    return X.java_classes(spread(java_files(spark, sf_dir))).select(
         "node_id", "name", "start_line", "end_line", "signature", "docstring", F.array_join("annotations", ",").alias("annotations"),
         F.col("props")["class_type"].alias("class_type"), F.col("props")["base_path"].alias("base_path"))
 
 
 def java_methods(spark, sf_dir):
-    return X.java_methods(_spread(java_files(spark, sf_dir))).select(
+    return X.java_methods(spread(java_files(spark, sf_dir))).select(
         "node_id", "name", "start_line", "end_line", "signature", F.array_join("annotations", ",").alias("annotations"),
         F.col("props")["class_name"].alias("class_name"), "class_line")
 
 
 def java_endpoints(spark, sf_dir):
-    e = X.endpoints(X.java_methods(_spread(java_files(spark, sf_dir))))
+    e = X.endpoints(X.java_methods(spread(java_files(spark, sf_dir))))
     return e.select("name", "file_path", "start_line", F.col("props")["http_method"].alias("http_method"), F.col("props")["path"].alias("path"),
                     F.col("props")["controller"].alias("controller"), F.col("props")["handler_method"].alias("handler"))
 
@@ -121,17 +116,17 @@ def java_imports(spark, sf_dir):
 
 
 def structural_edges(spark, sf_dir):
-    return X.structural_edges(X.java_methods(_spread(java_files(spark, sf_dir)))).select("src", "rel_type", "dst")
+    return X.structural_edges(X.java_methods(spread(java_files(spark, sf_dir)))).select("src", "rel_type", "dst")
 
 
 def depends_on_edges(spark, sf_dir):
-    files = _spread(java_files(spark, sf_dir))
+    files = spread(java_files(spark, sf_dir))
     return L.resolve_wildcards(X.depends_on_specs(files), durable(X.java_classes(files), "nodes")).select("src", "rel_type", "dst")
 
 
 def call_edges(spark, sf_dir):
-    nodes = durable(X.ts_nodes(_spread(ts_files(spark, sf_dir))).unionByName(
-        X.java_methods(_spread(java_files(spark, sf_dir))).drop("class_line", "endpoint")), "nodes")
+    nodes = durable(X.ts_nodes(spread(ts_files(spark, sf_dir))).unionByName(
+        X.java_methods(spread(java_files(spark, sf_dir))).drop("class_line", "endpoint")), "nodes")
     return X.call_edges(nodes).select("src", "rel_type", "dst")
 
 

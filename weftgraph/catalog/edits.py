@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators import changes as C
 from weftgraph.operators import safety as S
 from weftgraph.operators import sampling as P
+from weftgraph.plans.scale import spread
 from weftgraph.plans.views import sql_over
 
 # Three edits on average per file: the original is the text before, the new text drops or adds lines. Both engines run it.
@@ -17,7 +18,7 @@ EDIT_SQL = EDIT_SQL.replace("CAST(doc_id AS BIGINT) / 3 - (CAST(doc_id AS BIGINT
 
 
 def edits(spark, sf_dir):
-    return sql_over(spark, sf_dir, EDIT_SQL, ["documents"])
+    return spread(sql_over(spark, sf_dir, EDIT_SQL, ["documents"]))
 
 
 def latest_changes(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import rules as R
 from weftgraph.operators import safety as S
+from weftgraph.plans.scale import spread
 from weftgraph.plans.views import sql_over, table
 
 # {h}: 64 hex digits of the row's key; {b}: two base-64 digests. Both engines run this text.
@@ -42,7 +43,7 @@ DUCK_TEXTS = _text_sql(
 
 
 def texts(spark, sf_dir):
-    return sql_over(spark, sf_dir, SPARK_TEXTS, ["documents"])
+    return spread(sql_over(spark, sf_dir, SPARK_TEXTS, ["documents"]))
 
 
 def secret_scan(spark, sf_dir):

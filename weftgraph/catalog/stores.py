@@ -12,9 +12,9 @@ from weftgraph.operators import limits as L
 from weftgraph.operators import link as K
 from weftgraph.operators import summary as Y
 from weftgraph.catalog.chunks import entities, node_sql, parent_sql
-from weftgraph.catalog.code import _spread, java_files, ts_files
+from weftgraph.catalog.code import java_files, ts_files
 from weftgraph.catalog.policies import LIMITS, log
-from weftgraph.plans.scale import durable, new_path
+from weftgraph.plans.scale import durable, new_path, spread
 from weftgraph.plans.views import graph_sql, sql_over, star_graph, table
 from weftgraph.sources import audit_log, files as S, tables as T
 from weftgraph.streaming import audit as SA, limits as SL
@@ -176,8 +176,8 @@ def stream_limits(spark, sf_dir):
 
 def _ingested(spark, sf_dir):
     ts, java = ts_files(spark, sf_dir), java_files(spark, sf_dir)
-    methods = E.java_methods(_spread(java))
-    nodes = durable(E.ts_nodes(_spread(ts)).unionByName(methods.drop("class_line", "endpoint")).unionByName(E.java_classes(_spread(java))).unionByName(E.endpoints(methods)), "nodes")
+    methods = E.java_methods(spread(java))
+    nodes = durable(E.ts_nodes(spread(ts)).unionByName(methods.drop("class_line", "endpoint")).unionByName(E.java_classes(spread(java))).unionByName(E.endpoints(methods)), "nodes")
     edges = E.structural_edges(methods).withColumn("repo", F.lit("back"))
     chunks = C.chunk_nodes(nodes.withColumn("language", F.lit("code")), 40)
     return ts.unionByName(java), nodes, edges, chunks
@@ -192,7 +192,7 @@ def ingest_summary(spark, sf_dir):
 def link_totals(spark, sf_dir):
     """Calls of the derived files against the endpoints of the derived controllers."""
     calls = E.api_calls(ts_files(spark, sf_dir))
-    methods = E.endpoints(E.java_methods(_spread(java_files(spark, sf_dir))))
+    methods = E.endpoints(E.java_methods(spread(java_files(spark, sf_dir))))
     ends = durable(methods.select("file_path", F.col("props")["http_method"].alias("http_method"), F.col("props")["path"].alias("path"), F.col("props")["controller"].alias("controller"),
                                   F.col("props")["handler_method"].alias("handler_method"), F.xxhash64("node_id").alias("ordinal")), "endpoints")
     links = durable(K.link(calls, ends), "links")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.plans.scale import durable, top_rows
@@ -57,23 +57,46 @@ def walk(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def _short_lists(edges: DataFrame, length: int) -> DataFrame:
+    """First ``length`` distinct neighbours of every node by id, with type and direction of the edges (a, b, …)."""
+    sides = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel_type", F.lit("outgoing").alias("direction")).unionAll(
+        edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel_type", F.lit("incoming").alias("direction")))
+    w = Window.partitionBy("a").orderBy("b")
+    return sides.withColumn("_r", F.dense_rank().over(w)).filter(F.col("_r") <= length).drop("_r")
+
+
 def neighbors(graph: Graph, requests: DataFrame, depth: int = 1, limit: int = 50) -> DataFrame:
-    """Nearest nodes around each named node, with type and direction of direct edges."""
+    """Nearest nodes around each named node (by hop, then id), with type and direction of direct edges.
+
+    Hubs stay cheap: a seed stops once it has ``limit`` nodes, so an open seed has seen fewer than that, and the first
+    2 * limit + 2 neighbours of any node then hold every node that can still be among its nearest. Lists are cut to
+    that length before they are joined.
+    """
     depth = min(max(depth, 1), 3)
     seeds = named(graph, requests).select("seed").distinct()
-    start = seeds.withColumn("node", F.col("seed"))
-    reached = walk(both_ways(graph.edges).select("a", "b"), start, depth).filter("node <> seed")
-    kept = top_rows(reached, ["seed"], [F.col("hop"), F.col("node")], limit)
-    direct = graph.edges.select(F.col("src").alias("seed"), F.col("dst").alias("node"), "rel_type",
-                                F.lit("outgoing").alias("direction")).unionAll(
-        graph.edges.select(F.col("dst").alias("seed"), F.col("src").alias("node"), "rel_type",
-                           F.lit("incoming").alias("direction")))
+    lists = _short_lists(graph.edges, 2 * limit + 2)
+    if depth > 1:
+        lists, seeds = durable(lists, "lists"), durable(seeds, "seeds")
+    by_id = Window.partitionBy("seed").orderBy("node")
+    near = (
+        seeds.join(lists, F.col("seed") == F.col("a")).filter("b <> seed")
+        .select("seed", F.col("b").alias("node"), "rel_type", "direction", F.lit(1).alias("hop"))
+        .withColumn("_r", F.dense_rank().over(by_id)).filter(F.col("_r") <= limit).drop("_r")
+    )
+    if depth > 1:
+        near = durable(near, "hop")
+    found, step, seen = near, near.select("seed", "node").distinct(), near.select("seed", "node").distinct()
+    for hop in range(2, depth + 1):
+        room = seen.groupBy("seed").agg((F.lit(limit) - F.count("*")).alias("room")).filter("room > 0")
+        ahead = step.join(room, "seed").join(lists.select("a", "b").distinct(), F.col("node") == F.col("a")).filter("b <> seed")
+        fresh = ahead.select("seed", F.col("b").alias("node"), "room").distinct().join(seen, ["seed", "node"], "left_anti")
+        kept = top_rows(fresh, ["seed"], [F.col("node")], limit, "_r").filter("_r <= room").select("seed", "node")
+        step = durable(kept, "hop") if hop < depth else kept
+        seen = seen.unionByName(step)
+        null = F.lit(None).cast("string")
+        found = found.unionByName(step.select("seed", "node", null.alias("rel_type"), null.alias("direction"), F.lit(hop).alias("hop")))
     info = graph.nodes.select(F.col("node_id").alias("node"), "name", "node_type", "repo", "file_path")
-    near = kept.filter("hop = 1").join(direct, ["seed", "node"])
-    far = kept.filter("hop > 1").select("*", F.lit(None).cast("string").alias("rel_type"),
-                                        F.lit(None).cast("string").alias("direction"))
-    return near.unionByName(far).join(info, "node").select(
-        "seed", "node", "name", "node_type", "repo", "file_path", "hop", "rel_type", "direction")
+    return found.join(info, "node").select("seed", "node", "name", "node_type", "repo", "file_path", "hop", "rel_type", "direction")
 
 
 def graph_view(graph: Graph, requests: DataFrame, depth: int = 1, limit: int = 100) -> tuple[DataFrame, DataFrame]:

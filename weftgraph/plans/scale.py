@@ -41,12 +41,13 @@ def durable(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def is_empty(df: DataFrame) -> bool:
-    return df.isEmpty()
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when the input has fewer partitions than the cluster has cores.
 
-
-def estimated_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    Only inputs too small to fill the cluster are moved; a large scan already has more splits than cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def group_shape(df: DataFrame, keys: list[str]) -> tuple[int, int]:
