@@ -24,17 +24,22 @@ def strip_ws(c: Column) -> Column:
 
 
 def _strip_slashes(c: Column) -> Column:
-    return F.regexp_replace(c, "^/+|/+$", "")
+    return F.btrim(c, F.lit("/"))
+
+
+def _replace_if(c: Column, hint: str, pattern: str, replacement: str) -> Column:
+    """Regex replacement only where a plain substring test says it can apply."""
+    return F.when(c.contains(hint), F.regexp_replace(c, pattern, replacement)).otherwise(c)
 
 
 def normalize_path(c: Column) -> Column:
-    params = F.regexp_replace(_strip_slashes(c), r"\{(" + word + r"+)\}", ":$1")
+    params = _replace_if(_strip_slashes(c), "{", r"\{(" + word + r"+)\}", ":$1")
     return F.concat(F.lit("/"), F.lower(params))
 
 
 def normalize_url(c: Column) -> Column:
-    path = F.substring_index(F.regexp_replace(c, "^https?://[^/]+", ""), "?", 1)
-    return normalize_path(F.regexp_replace(path, r"\$\{[^}]+\}", ":param"))
+    path = F.substring_index(_replace_if(c, "://", "^https?://[^/]+", ""), "?", 1)
+    return normalize_path(_replace_if(path, "${", r"\$\{[^}]+\}", ":param"))
 
 
 def segments(path: Column) -> Column:

@@ -95,10 +95,11 @@ def _end_of(decl: Column, brace_kinds: list[str]) -> Column:
 
 
 def _brackets() -> Column:
-    def one(line: Column) -> Column:
+    def one(line: Column, i: Column) -> Column:
+        follows = F.coalesce(F.ltrim(F.get("lines", i + 1)).rlike(r"^[|&.?:]"), F.lit(False))
         return F.struct(
             (_count(line, r"({\[") - _count(line, r")}\]")).alias("net"), line.contains("{").alias("brace"),
-            F.rtrim(line).endswith(";").alias("semi"), F.rtrim(line).rlike(r"(=>|[=,(|&:?])$").alias("goes_on"))
+            F.rtrim(line).endswith(";").alias("semi"), (F.rtrim(line).rlike(r"(=>|[=,(|&:?])$") | follows).alias("goes_on"))
 
     return F.transform("lines", one)
 

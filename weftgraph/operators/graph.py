@@ -232,15 +232,15 @@ def shortest_path(graph: Graph, requests: DataFrame, max_depth: int = 5) -> Data
     """
     ids = graph.nodes.select(F.col("node_id").alias("id"), F.col("name").alias("nm"))
     asked = requests.select("start", "end").distinct()
-    pairs = durable(
-        asked.join(ids.select(F.col("id").alias("s"), F.col("nm").alias("start")), "start")
-        .join(ids.select(F.col("id").alias("t"), F.col("nm").alias("end")), "end").filter("s <> t"), "pairs")
-    links = both_ways(graph.edges).groupBy("a", "b").agg(F.min("rel_type").alias("rel"))
+    # every node of the start name begins one side, every node of the end name the other: no pairs are formed
+    starts = durable(asked.join(ids.select(F.col("id").alias("node"), F.col("nm").alias("start")), "start").select("start", "end", "node"), "starts")
+    ends = durable(asked.join(ids.select(F.col("id").alias("node"), F.col("nm").alias("end")), "end").select("start", "end", "node"), "ends")
+    links = both_ways(graph.edges).filter("a <> b").groupBy("a", "b").agg(F.min("rel_type").alias("rel"))
     none = F.array().cast("array<string>")
     key = ["start", "end"]
 
-    def begin(end: str) -> DataFrame:
-        return pairs.select(*key, F.col(end).alias("node"), F.struct(F.array(end).alias("ids"), none.alias("rels")).alias("way")).distinct()
+    def begin(side: DataFrame) -> DataFrame:
+        return side.select(*key, "node", F.struct(F.array("node").alias("ids"), none.alias("rels")).alias("way")).distinct()
 
     def expand(level: DataFrame, seen: DataFrame, forward: bool, open_requests: DataFrame) -> DataFrame:
         live = level.join(open_requests, key, "left_semi")
@@ -253,9 +253,9 @@ def shortest_path(graph: Graph, requests: DataFrame, max_depth: int = 5) -> Data
         best = stepped.groupBy(*key, "node").agg(F.min("way").alias("way"))
         return durable(best.join(seen.select(*key, "node"), [*key, "node"], "left_anti"), "front")
 
-    fwd, bwd = begin("s"), begin("t")
+    fwd, bwd = begin(starts), begin(ends)
     seen_f, seen_b = fwd, bwd
-    open_requests, found = pairs.select(*key).distinct(), None
+    open_requests, found = starts.select(*key).distinct().join(ends.select(*key).distinct(), key, "left_semi"), None
     for length in range(1, max_depth + 1):
         if length % 2 == 1:
             fwd = expand(fwd, seen_f, True, open_requests)

@@ -91,11 +91,11 @@ def link(calls: DataFrame, endpoints: DataFrame, pick: str = "best") -> DataFram
     exact = wanted.join(templates.select("m", "p", "ordinal"), ["m", "p"]).select("m", "p", "ordinal")
     rest = wanted.join(templates.select("m", "p"), ["m", "p"], "left_anti")
     chosen = exact.unionByName(_pattern_matches(rest, templates, pick))
-    matched = (
+    confidence = F.when(F.col("p") == F.col("be_p"), F.lit(1.0)).otherwise(path_confidence(F.col("p"), F.col("be_p")))
+    # written out, its size is known: Spark broadcasts it when small, so the calls themselves need no shuffle
+    matched = durable(
         chosen.join(templates.select("ordinal", F.col("p").alias("be_p"), "be"), "ordinal")
-        .withColumn("confidence", F.when(F.col("p") == F.col("be_p"), F.lit(1.0))
-                    .otherwise(path_confidence(F.col("p"), F.col("be_p"))))
-    )
+        .select("m", "p", "be", confidence.alias("confidence")), "matched")
     keyed = calls.withColumns({"m": F.upper("method"), "p": normalize_url(F.col("url_pattern"))})
     return keyed.join(matched, ["m", "p"]).select(
         F.col("file_path").alias("fe_file"), F.col("line_number").alias("fe_line"), F.col("method").alias("fe_method"),
