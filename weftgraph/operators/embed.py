@@ -16,16 +16,21 @@ from weftgraph.plans.scale import durable
 EmbedFn = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
+def _text_key(c):
+    """Content hash as a join key: declared non-NULL, so that no null filter hashes the text a second time."""
+    return F.coalesce(content_hash(c), F.lit(""))
+
+
 def cache_split(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     """Distinct content hashes with ``cached``: whether (hash, model) is already stored."""
-    hashed = texts.select(content_hash(embedding_input(F.col("text"))).alias("content_hash")).distinct()
+    hashed = texts.select(_text_key(embedding_input(F.col("text"))).alias("content_hash")).distinct()
     known = cache.filter(F.col("model") == model).select("content_hash", F.lit(True).alias("cached")).distinct()
     return hashed.join(known, "content_hash", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
 
 
 def embed(texts: DataFrame, cache: DataFrame, embed_fn: EmbedFn, model: str, batch: int = 100, attempts: int = 3) -> tuple[DataFrame, DataFrame]:
     """(id, vector) for ``texts(id, text)`` and the new cache rows. Each distinct unknown text is embedded once."""
-    keyed = texts.select("id", embedding_input(F.col("text")).alias("text")).withColumn("content_hash", content_hash(F.col("text")))
+    keyed = texts.select("id", embedding_input(F.col("text")).alias("text")).withColumn("content_hash", _text_key(F.col("text")))
     known = cache.filter(F.col("model") == model).groupBy("content_hash").agg(F.any_value("vector").alias("vector"))
     missing = keyed.join(known, "content_hash", "left_anti").groupBy("content_hash").agg(F.any_value("text").alias("text"))
     schema = T.StructType([T.StructField("content_hash", T.StringType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])

@@ -82,12 +82,17 @@ def _pattern_matches(calls: DataFrame, templates: DataFrame, pick: str) -> DataF
     return chosen
 
 
+def _call_key() -> list[Column]:
+    """Join key of a call. Never NULL, so the planner adds no second evaluation as a null filter below the join."""
+    return [F.coalesce(F.upper("method"), F.lit("")).alias("m"), F.coalesce(normalize_url(F.col("url_pattern")), F.lit("")).alias("p")]
+
+
 def link(calls: DataFrame, endpoints: DataFrame, pick: str = "best") -> DataFrame:
     """Match rows; exact first, then templates. ``pick='first'`` takes the earliest template that matches at all."""
     # both key tables feed several joins: normalise and deduplicate once
     templates = durable(_endpoint_templates(endpoints), "templates")
     wanted = durable(
-        calls.select(F.upper("method").alias("m"), normalize_url(F.col("url_pattern")).alias("p")).distinct(), "calls")
+        calls.select(*_call_key()).distinct(), "calls")
     exact = wanted.join(templates.select("m", "p", "ordinal"), ["m", "p"]).select("m", "p", "ordinal")
     rest = wanted.join(templates.select("m", "p"), ["m", "p"], "left_anti")
     chosen = exact.unionByName(_pattern_matches(rest, templates, pick))
@@ -96,7 +101,7 @@ def link(calls: DataFrame, endpoints: DataFrame, pick: str = "best") -> DataFram
     matched = durable(
         chosen.join(templates.select("ordinal", F.col("p").alias("be_p"), "be"), "ordinal")
         .select("m", "p", "be", confidence.alias("confidence")), "matched")
-    keyed = calls.withColumns({"m": F.upper("method"), "p": normalize_url(F.col("url_pattern"))})
+    keyed = calls.select("*", *_call_key())
     return keyed.join(matched, ["m", "p"]).select(
         F.col("file_path").alias("fe_file"), F.col("line_number").alias("fe_line"), F.col("method").alias("fe_method"),
         F.col("url_pattern").alias("fe_url"), F.col("be.file_path").alias("be_file"),
