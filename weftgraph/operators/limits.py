@@ -122,7 +122,9 @@ def cost(usage: DataFrame, prices: dict[str, float] | None = None) -> DataFrame:
     table = R.MODEL_PRICES if prices is None else prices
     price = reduce(lambda acc, kv: F.when(F.col("model") == kv[0], F.lit(kv[1])).otherwise(acc), table.items(), F.lit(R.DEFAULT_PRICE))
     total = usage.groupBy("session_id", "model").agg(F.sum("tokens").alias("tokens"))
-    return total.select("session_id", "model", "tokens", F.round(F.col("tokens") / 1_000_000 * price, 4).alias("usd"))
+    # scaled, then rounded: rounds the stored double, not its shortest decimal text
+    usd = F.round(F.col("tokens") / 1_000_000 * price * 10_000) / 10_000
+    return total.select("session_id", "model", "tokens", usd.alias("usd"))
 
 
 def reset(events: DataFrame, starts: DataFrame) -> DataFrame:
