@@ -45,6 +45,10 @@ def graph_view_edges(spark, sf_dir):
     return G.graph_view(star_graph(spark, sf_dir), _suppliers(spark, sf_dir), 1, 100)[1]
 
 
+def graph_view_nodes(spark, sf_dir):
+    return G.graph_view(star_graph(spark, sf_dir), _suppliers(spark, sf_dir), 1, 100)[0]
+
+
 def callers(spark, sf_dir):
     return G.find_callers(star_graph(spark, sf_dir), _suppliers(spark, sf_dir), 50)
 
@@ -153,7 +157,7 @@ def annotated_functions(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    label_counts, graph_totals, rel_type_counts, top_called, neighbors_d1, neighbors_d2, neighbors_d3, graph_view_edges,
+    label_counts, graph_totals, rel_type_counts, top_called, neighbors_d1, neighbors_d2, neighbors_d3, graph_view_edges, graph_view_nodes,
     callers, callers_in_repo, api_contracts, api_map, api_map_filtered, api_map_totals, endpoints_without_consumers,
     cross_repo_impact, module_graph, module_report, trace_report, neighbor_report, contract_report, shortest_path,
     path_steps, impact, impact_counts, impact_depth2, consumers_by_path, text_contains, exported_components,
@@ -253,6 +257,8 @@ ORACLES = {
     "neighbors_d3": _neighbors_sql("SELECT node_id FROM nodes WHERE node_id LIKE 'region:%'", 3, 50, _ALL),
     "graph_view_edges": _neighbors_sql(_SUPPLIER_SEEDS, 1, 100, """SELECT seed, CASE WHEN direction = 'outgoing' THEN seed ELSE node END AS source,
         CASE WHEN direction = 'outgoing' THEN node ELSE seed END AS target, coalesce(rel_type, 'RELATED') AS label FROM found"""),
+    "graph_view_nodes": _neighbors_sql(_SUPPLIER_SEEDS, 1, 100, """SELECT DISTINCT seed, node AS id, substr(name, 1, 20) AS label, node_type FROM found
+        UNION ALL SELECT node_id, node_id, name, 'center' FROM s"""),
     "callers": graph_sql(_CALLERS.replace("{more}", "")),
     "callers_in_repo": graph_sql(_CALLERS.replace("{more}", "AND k.repo = 'back' AND f.repo = 'back'")),
     "api_contracts": graph_sql(f""", {_HANDLER} SELECT DISTINCT n.node_id AS endpoint_id, n.http_method, n.path, n.repo, h.handler_id, h.handler, c.consumer_id, c.consumer

@@ -133,9 +133,9 @@ def layout_round_trip(spark, sf_dir):
 def vector_points(spark, sf_dir):
     chunks = durable(C.chunk_nodes(entities(spark, sf_dir), 400), "chunks")
     vectors = chunks.select("chunk_id", F.array(F.length("content").cast("double")).alias("vector"))
-    fresh = T.vector_points(chunks, vectors).select("chunk_id", "repo", "content", "vector")
+    fresh = T.vector_points(chunks, vectors).select("chunk_id", "repo", "content", "vector", F.size("metadata").alias("keys"))
     stored = T.upsert_vectors(fresh.filter("repo = 'src1'").withColumn("content", F.lit("stale")), fresh)
-    return stored.select("chunk_id", "repo", F.length("content").alias("n"), F.get("vector", F.lit(0)).alias("v"))
+    return stored.select("chunk_id", "repo", F.length("content").alias("n"), F.get("vector", F.lit(0)).alias("v"), "keys")
 
 
 def _audit_rows(spark, sf_dir):
@@ -163,7 +163,7 @@ def stream_audit(spark, sf_dir):
 def stream_limits(spark, sf_dir):
     """The event log through the stateful stream: counted resources, builds (errors) and token requests (purchases)."""
     schema = table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet*")
     events = raw.select(
         F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_type") == "error", "build").when(F.col("event_type") == "purchase", "tokens").otherwise(F.col("event_type")).alias("resource"),
@@ -255,7 +255,7 @@ ORACLES = {
     "safe_props": """SELECT o_orderkey, '{"o_orderstatus":"' || o_orderstatus || '","tags":"[\\"' || o_orderstatus || '\\",\\"' || o_orderpriority || '\\"]"' || CASE WHEN o_orderstatus = 'F' THEN ',"cust":"' || o_custkey || '"' ELSE '' END || '}' AS props FROM orders""",
     "layout_round_trip": graph_sql("SELECT repo, node_type, count(*) AS n, min(name) AS first FROM nodes WHERE repo <> 'back' GROUP BY repo, node_type"),
     "vector_points": node_sql(400) + ", " + parent_sql(400) + """, a AS (SELECT p.id || ':' || idx AS chunk_id, source AS repo, p.content FROM pieces p JOIN t USING (id) UNION ALL SELECT id || ':parent', source, content FROM s)
-        SELECT chunk_id, repo, least(length(content), 5000) AS n, length(content)::DOUBLE AS v FROM a""",
+        SELECT chunk_id, repo, least(length(content), 5000) AS n, length(content)::DOUBLE AS v, CASE WHEN chunk_id LIKE '%:parent' THEN 3 ELSE 2 END AS keys FROM a""",
     "audit_round_trip": _DEN + " SELECT 'RATE_LIMIT_EXCEEDED' AS event_type, 'Rate limit exceeded for ' || resource AS error, count(*) AS n, 0 AS with_repo FROM d GROUP BY resource",
     "stream_audit": _DEN + """ SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS timestamp, CAST(user_id AS VARCHAR) AS session_id, 'RATE_LIMIT_EXCEEDED' AS event_type, 'Rate limit exceeded for ' || resource AS error FROM d""",
     "stream_limits": """WITH RECURSIVE lim(resource, lim) AS (VALUES ('click', 10), ('view', 8)),

@@ -57,11 +57,15 @@ def walk(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def _short_lists(edges: DataFrame, length: int) -> DataFrame:
-    """First ``length`` distinct neighbours of every node by id, with type and direction of the edges (a, b, …)."""
+def _short_lists(edges: DataFrame, around: DataFrame, length: int) -> DataFrame:
+    """First ``length`` distinct neighbours by id of the nodes in ``around(a)``, with type and direction (a, b, …).
+
+    Only edges at those nodes are kept before anything is ranked; few nodes mean no shuffle of the edge table.
+    """
     sides = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel_type", F.lit("outgoing").alias("direction")).unionAll(
         edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel_type", F.lit("incoming").alias("direction")))
     w = Window.partitionBy("a").orderBy("b")
+    sides = sides.join(around.distinct(), "a", "left_semi")
     return sides.withColumn("_r", F.dense_rank().over(w)).filter(F.col("_r") <= length).drop("_r")
 
 
@@ -74,9 +78,9 @@ def neighbors(graph: Graph, requests: DataFrame, depth: int = 1, limit: int = 50
     """
     depth = min(max(depth, 1), 3)
     seeds = named(graph, requests).select("seed").distinct()
-    lists = _short_lists(graph.edges, 2 * limit + 2)
-    if depth > 1:
-        lists, seeds = durable(lists, "lists"), durable(seeds, "seeds")
+    seeds = durable(seeds, "seeds")
+    width = 2 * limit + 2
+    lists = _short_lists(graph.edges, seeds.select(F.col("seed").alias("a")), width)
     by_id = Window.partitionBy("seed").orderBy("node")
     near = (
         seeds.join(lists, F.col("seed") == F.col("a")).filter("b <> seed")
@@ -88,7 +92,9 @@ def neighbors(graph: Graph, requests: DataFrame, depth: int = 1, limit: int = 50
     found, step, seen = near, near.select("seed", "node").distinct(), near.select("seed", "node").distinct()
     for hop in range(2, depth + 1):
         room = seen.groupBy("seed").agg((F.lit(limit) - F.count("*")).alias("room")).filter("room > 0")
-        ahead = step.join(room, "seed").join(lists.select("a", "b").distinct(), F.col("node") == F.col("a")).filter("b <> seed")
+        live = durable(step.join(room, "seed"), "live")
+        lists = _short_lists(graph.edges, live.select(F.col("node").alias("a")), width).select("a", "b").distinct()
+        ahead = live.join(lists, F.col("node") == F.col("a")).filter("b <> seed")
         fresh = ahead.select("seed", F.col("b").alias("node"), "room").distinct().join(seen, ["seed", "node"], "left_anti")
         kept = top_rows(fresh, ["seed"], [F.col("node")], limit, "_r").filter("_r <= room").select("seed", "node")
         step = durable(kept, "hop") if hop < depth else kept
@@ -188,7 +194,7 @@ def cross_repo_impact(graph: Graph, paths: list[str], depth: int = 2) -> DataFra
     ends = found.select("endpoint_id").distinct()
     handlers = ends.join(_handlers(graph, True), "endpoint_id").select("endpoint_id", F.col("handler_id").alias("node"))
     consumers = ends.join(_consumers(graph), "endpoint_id").select("endpoint_id", F.col("consumer_id").alias("node")).distinct()
-    callers = graph.edges.filter("rel_type = 'CALLS'").select(F.col("dst").alias("a"), F.col("src").alias("b")).distinct()
+    callers = graph.edges.filter("rel_type = 'CALLS'").select(F.col("dst").alias("a"), F.col("src").alias("b"))
 
     def upstream(start: DataFrame, role: str) -> DataFrame:
         # callers do not depend on the endpoint: walk once per start node, not once per endpoint

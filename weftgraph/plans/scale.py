@@ -31,7 +31,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/weftgraph/{label}-{uuid.uuid4().hex}"
+    """A new folder below the application's own one, which may be removed once the application has ended."""
+    return f"{scratch_dir(spark)}/weftgraph/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame, label: str = "stage") -> DataFrame:
