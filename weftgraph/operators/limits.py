@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.functions import rules as R
-from weftgraph.plans.scale import MAX_GROUP_ROWS, ordered_fold, running_totals, top_rows
+from weftgraph.plans.scale import MAX_GROUP_ROWS, durable, ordered_fold, running_totals, top_rows
 
 HOUR = 3_600_000_000
 
@@ -36,7 +36,7 @@ def limit_counts(events: DataFrame, limits: dict[str, int] | None = None) -> Dat
     limits = R.SESSION_LIMITS if limits is None else limits
     base = events.filter(F.col("resource").isin(*limits)).withColumn("limit", _limit_of(F.col("resource"), limits))
     key = ["session_id", "resource"]
-    head = top_rows(base, key, [F.col("ts"), F.col("event_id")], max(limits.values()), "rn").filter(F.col("rn") <= F.col("limit"))
+    head = durable(top_rows(base, key, [F.col("ts"), F.col("event_id")], max(limits.values()), "rn").filter(F.col("rn") <= F.col("limit")), "passed")
     passed = head.select("*", F.lit(True).alias("allowed"), (F.col("rn") - 1).alias("current")).drop("rn")
     last = head.filter("rn = limit").select(*key, F.struct("ts", "event_id").alias("last"))
     denied = base.join(last, key).filter(F.struct("ts", "event_id") > F.col("last")).drop("last").select(
@@ -58,8 +58,9 @@ def trailing_counts(events: DataFrame, seconds: int = 3600, max_rows: int = MAX_
 
 def limit_builds(events: DataFrame, limit: int = R.BUILDS_PER_HOUR, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """``events``: session_id, ts, event_id. Only recorded builds count, at most the last 100 are remembered."""
-    recent = trailing_counts(events, 3600, max_rows)
-    busy = recent.groupBy("session_id").agg(F.max("recent").alias("m")).filter((F.col("m") > limit) | (F.lit(limit) > R.REMEMBERED_BUILDS))
+    recent = durable(trailing_counts(events, 3600, max_rows), "recent")
+    busy = durable(
+        recent.groupBy("session_id").agg(F.max("recent").alias("m")).filter((F.col("m") > limit) | (F.lit(limit) > R.REMEMBERED_BUILDS)), "busy")
     calm = recent.join(busy.select("session_id"), "session_id", "left_anti").select(
         "session_id", "event_id", "at", F.lit(True).alias("allowed"), (F.col("recent") - 1).cast("bigint").alias("current"))
     tight = recent.join(busy.select("session_id"), "session_id", "left_semi").select("session_id", "event_id", "at")
@@ -83,7 +84,8 @@ def limit_builds(events: DataFrame, limit: int = R.BUILDS_PER_HOUR, max_rows: in
 def limit_tokens(events: DataFrame, limit: int = R.TOKENS_PER_SESSION, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """``events``: session_id, ts, event_id, tokens. Denied requests add nothing; a later smaller one may pass."""
     base = with_micros(events).select("session_id", "event_id", "at", F.col("tokens").cast("bigint").alias("tokens"))
-    over = base.groupBy("session_id").agg(F.sum("tokens").alias("t")).filter(F.col("t") > limit).select("session_id")
+    # few sessions go over: their known size lets Spark pick them by broadcast, without a shuffle of the log
+    over = durable(base.groupBy("session_id").agg(F.sum("tokens").alias("t")).filter(F.col("t") > limit).select("session_id"), "over")
     within = running_totals(base.join(over, "session_id", "left_anti"), ["session_id"], ["at", "event_id"],
                             {"projected": F.col("tokens")}, max_rows)
     easy = within.select("session_id", "event_id", "at", "tokens", F.lit(True).alias("allowed"), "projected")

@@ -22,15 +22,21 @@ def scan_secrets(df: DataFrame, content: str = "content", rules: list[tuple[str,
     return df.select(*kept, F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(*kept, "hit.rule", "hit.label", "hit.hard")
 
 
+_EXCLUDED = "(?i)\\A(?:" + "|".join(R.ENTROPY_EXCLUSIONS) + ")\\z"
+
+
+def _excerpt(literal: Column) -> Column:
+    return F.when(F.length(literal) > 20, F.concat(F.substring(literal, 1, 20), F.lit("..."))).otherwise(literal)
+
+
 def scan_entropy(df: DataFrame, content: str = "content") -> DataFrame:
     """One row per quoted literal of 20+ characters above the warning entropy."""
-    excluded = "(?i)\\A(?:" + "|".join(R.ENTROPY_EXCLUSIONS) + ")\\z"
     kept = [c for c in df.columns if c != content]
-    literals = df.select(*kept, F.posexplode(string_literals(F.col(content))).alias("pos", "literal")).filter(~F.col("literal").rlike(excluded))
+    literals = df.select(*kept, F.posexplode(string_literals(F.col(content))).alias("pos", "literal")).filter(~F.col("literal").rlike(_EXCLUDED))
     scored = literals.withColumn("entropy", shannon_entropy(F.col("literal"))).filter(F.col("entropy") > R.ENTROPY_WARN)
     return scored.withColumns({
         "hard": F.col("entropy") > R.ENTROPY_HARD,
-        "excerpt": F.when(F.length("literal") > 20, F.concat(F.substring("literal", 1, 20), F.lit("..."))).otherwise(F.col("literal")),
+        "excerpt": _excerpt(F.col("literal")),
     })
 
 
@@ -39,10 +45,13 @@ def is_binary(c: Column) -> Column:
     return c.contains("\u0000") | ((F.length(c) > 0) & (controls / F.length(c) > 0.1))
 
 
+def _binary_reason(c: Column) -> Column:
+    return F.when(c.contains("\u0000"), "contains null bytes").otherwise("high concentration of control characters")
+
+
 def scan_binary(df: DataFrame, content: str = "content") -> DataFrame:
     c = F.col(content)
-    reason = F.when(c.contains("\u0000"), "contains null bytes").otherwise("high concentration of control characters")
-    return df.filter(is_binary(c)).withColumn("reason", reason).drop(content)
+    return df.filter(is_binary(c)).withColumn("reason", _binary_reason(c)).drop(content)
 
 
 def _normalised(path: Column) -> Column:
@@ -72,19 +81,23 @@ def scan_paths(df: DataFrame, path: str = "path", root: str = "/repo") -> DataFr
 
 
 def scan_content(df: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """All content rules as one violations table: key, kind, label, hard."""
-    texts = df.select(key, content)
-    secrets = scan_secrets(texts, content).select(key, F.lit("secret").alias("kind"), "label", "hard")
-    entropy = scan_entropy(texts, content).select(key, F.lit("entropy").alias("kind"), F.col("excerpt").alias("label"), "hard")
-    binary = scan_binary(texts, content).select(key, F.lit("binary").alias("kind"), F.col("reason").alias("label"), F.lit(True).alias("hard"))
-    return secrets.unionByName(entropy).unionByName(binary)
+    """All content rules as one violations table (key, kind, label, hard), in one pass over the texts."""
+    c = F.col(content)
+
+    def item(kind: str, label: Column, hard: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), label.alias("label"), hard.alias("hard"))
+
+    secrets = F.array_compact(F.array(*[F.when(c.rlike(p), item("secret", F.lit(label), F.lit(hard))) for p, label, hard in R.SECRET_RULES]))
+    scored = F.transform(F.filter(string_literals(c), lambda s: ~s.rlike(_EXCLUDED)), lambda s: F.struct(s.alias("s"), shannon_entropy(s).alias("e")))
+    entropy = F.transform(F.filter(scored, lambda x: x["e"] > R.ENTROPY_WARN), lambda x: item("entropy", _excerpt(x["s"]), x["e"] > R.ENTROPY_HARD))
+    binary = F.when(is_binary(c), F.array(item("binary", _binary_reason(c), F.lit(True)))).otherwise(F.slice(secrets, 1, 0))
+    return df.select(key, F.explode(F.concat(binary, secrets, entropy)).alias("v")).select(key, "v.kind", "v.label", "v.hard")
 
 
 def scan_summary(df: DataFrame, key: str, content: str = "content") -> DataFrame:
     """Every text with its violation counts; safe means no hard violation. One pass, no shuffle."""
     c = F.col(content)
-    excluded = "(?i)\\A(?:" + "|".join(R.ENTROPY_EXCLUSIONS) + ")\\z"
-    scores = F.transform(F.filter(string_literals(c), lambda s: ~s.rlike(excluded)), shannon_entropy)
+    scores = F.transform(F.filter(string_literals(c), lambda s: ~s.rlike(_EXCLUDED)), shannon_entropy)
     counted = df.select(
         key, is_binary(c).cast("int").alias("b"), scores.alias("scores"),
         reduce(lambda a, b: a + b, [F.when(c.rlike(p), 1).otherwise(0) for p, _, hard in R.SECRET_RULES if hard]).alias("h"),
