@@ -138,7 +138,7 @@ def ordered_fold(
 
     if largest <= max_rows:
         # far fewer blocks than keys: the per-group Python cost is paid per block, not per key
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // max_rows))
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * rows // max_rows))
         hashed = df.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(n)))
         return hashed.groupBy("_block").applyInPandas(lambda pdf: run(pdf, None)[0][names], out_schema)
 
