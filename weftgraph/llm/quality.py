@@ -60,16 +60,13 @@ def with_features(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return windows.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(_repeated_words(F.col("_z")), F.lit(0)).cast("bigint").alias("n_repeat_words"))
 
 
-_COUNTS = {c: F.col(c) for c in FEATURES}
+def base_failed(min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
 
 
-def base_failed(f: dict[str, Column], min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED) -> Column:
-    return (f["n_words"] < min_words) | (100 * f["n_repeat_words"] > max_repeated * f["n_words"])
-
-
-def doc_failed(f: dict[str, Column], max_symbol_share: float = MAX_SYMBOL_SHARE) -> Column:
+def doc_failed(max_symbol_share: float = MAX_SYMBOL_SHARE) -> Column:
     """The base rules or too many symbols."""
-    return base_failed(f) | (f["n_symbols"] > max_symbol_share * f["n_words"])
+    return base_failed() | (F.col("n_symbols") > max_symbol_share * F.col("n_words"))
 
 
 def host_verdicts(rows: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
@@ -96,7 +93,7 @@ def host_verdicts(rows: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
 
 def failed_hosts(docs: DataFrame, host_column: str = "source", text_column: str = "text", host_limit: float = HOST_LIMIT) -> DataFrame:
     rows = with_features(docs.select(F.col(host_column).alias("_host"), F.col(text_column).alias("_text")), "_text", ["_host"])
-    return host_verdicts(rows.select("_host", doc_failed(_COUNTS).alias("_failed")), host_limit)
+    return host_verdicts(rows.select("_host", doc_failed().alias("_failed")), host_limit)
 
 
 def quality(docs: DataFrame, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text", host_limit: float = HOST_LIMIT) -> DataFrame:
@@ -107,7 +104,7 @@ def quality(docs: DataFrame, id_column: str = "doc_id", host_column: str = "sour
     """
     rows = docs.select(F.col(id_column).alias("_id"), F.col(host_column).alias("_host"), F.col(text_column).alias("_text"))
     rows = durable(with_features(rows, "_text", ["_id", "_host"]), "quality")
-    marked = rows.withColumns({"base_failed": base_failed(_COUNTS), "_failed": doc_failed(_COUNTS)})
+    marked = rows.withColumns({"base_failed": base_failed(), "_failed": doc_failed()})
     hosts = durable(host_verdicts(marked, host_limit).select(F.col("_host").alias("_h"), "shrunken_rate", "host_failed"), "hosts")
     joined = marked.join(hosts, F.col("_host").eqNullSafe(F.col("_h")), "left")
     return joined.select(
@@ -121,5 +118,5 @@ def kept_documents(docs: DataFrame, host_column: str = "source", host_limit: flo
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     host, text = f"c{names.index(host_column)}", f"c{names.index('text')}"
     bad = durable(failed_hosts(plain, host, text, host_limit).filter("host_failed").select(F.col("_host").alias("_h")), "hosts")
-    passed = with_features(plain, text, plain.columns).filter(~doc_failed(_COUNTS)).select(*plain.columns)
+    passed = with_features(plain, text, plain.columns).filter(~doc_failed()).select(*plain.columns)
     return passed.join(bad, F.col(host).eqNullSafe(F.col("_h")), "left_anti").toDF(*names)
