@@ -118,5 +118,8 @@ def kept_documents(docs: DataFrame, host_column: str = "source", host_limit: flo
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     host, text = f"c{names.index(host_column)}", f"c{names.index('text')}"
     bad = durable(failed_hosts(plain, host, text, host_limit).filter("host_failed").select(F.col("_host").alias("_h")), "hosts")
-    passed = with_features(plain, text, plain.columns).filter(~doc_failed()).select(*plain.columns)
+    marked = with_features(plain, text, plain.columns).select(*plain.columns, doc_failed().alias("_failed"))
+    # the one-row explode keeps the filter above the counts: pushed down, it would repeat them inside their own lambdas
+    marked = marked.select(*plain.columns, F.explode(F.array("_failed")).alias("_out"))
+    passed = marked.filter(~F.col("_out")).select(*plain.columns)
     return passed.join(bad, F.col(host).eqNullSafe(F.col("_h")), "left_anti").toDF(*names)
