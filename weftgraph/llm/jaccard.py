@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.components import components
@@ -30,7 +30,7 @@ from weftgraph.plans.scale import durable
 
 SHARED = 3
 #: An n-gram of this many classes goes to the end of the order.
-HEAVY_FROM = 16
+HEAVY_FROM = 4
 MAX_HEAVY = 1 << 20
 #: Rows of ids that may be broadcast (some 60 MB as a hash table); larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -200,15 +200,18 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if show.any():
             r, top = rows[show], leads[show]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(r["g"]), _digests(r["cls"]), pa.array(r["n"]), pa.array(r["pos"]), _digests(top["cls"]), pa.array(top["n"]), pa.array(top["pos"])],
-                names=["g", "cls", "n", "pos", "lead", "lead_n", "lead_pos"])
+                [pa.array(r["g"]), _digests(r["cls"]), pa.array(r["n"]), pa.array(r["pos"]), _digests(top["cls"]), pa.array(top["n"])],
+                names=["g", "cls", "n", "pos", "lead", "lead_n"])
 
 
-def _may_link(n, pos, other_n, other_pos, percent: int):
-    """Whether sizes, and the places of one shared n-gram, still allow the overlap that the similarity needs."""
+def _may_link(n, cap, pos, other_n, other_cap, other_pos, percent: int):
+    """Whether sizes, and the places of one shared n-gram among those that any other class has, still allow the overlap that is needed.
+
+    ``cap`` is a set's size without the prefix n-grams that no other class has: no partner can share these.
+    """
     least, most = np.minimum(n, other_n), np.maximum(n, other_n)
-    after = np.minimum(n - pos, other_n - other_pos)
-    return (100 * least >= percent * most) & ((np.minimum(pos, other_pos) + after) * (100 + percent) >= percent * (n + other_n))
+    overlap = np.minimum(pos, other_pos) + np.minimum(cap - pos, other_cap - other_pos)
+    return (100 * least >= percent * most) & (overlap * (100 + percent) >= percent * (n + other_n))
 
 
 def _between(percent: int):
@@ -218,13 +221,13 @@ def _between(percent: int):
         comps = rows["comp"]
         opens = np.flatnonzero(np.append(True, (comps[1:] != comps[:-1]).any(1)))
         stops = np.append(opens[1:], len(rows))
-        n, pos = rows["n"].astype(np.int64), rows["pos"].astype(np.int64)
+        n, pos, cap = (rows[c].astype(np.int64) for c in ("n", "pos", "cap"))
         lefts, rights, held = [], [], 0
         for a, b in zip(opens.tolist(), stops.tolist(), strict=True):
             step = max(1, (1 << 20) // max(1, len(rows) - b))
             for at in range(a, b, step):
                 i, j = np.arange(at, min(b, at + step))[:, None], np.arange(b, len(rows))[None, :]
-                x, y = np.nonzero(_may_link(n[i], pos[i], n[j], pos[j], percent))
+                x, y = np.nonzero(_may_link(n[i], cap[i], pos[i], n[j], cap[j], pos[j], percent))
                 lefts.append(x + at)
                 rights.append(y + b)
                 held += len(x)
@@ -240,7 +243,7 @@ def _between(percent: int):
         a[swap], b[swap] = b[swap], a[swap].copy()
         return pa.RecordBatch.from_arrays([_digests(a), _digests(b)], names=["a", "b"])
 
-    row = np.dtype([*[(name, *_ROW.fields[name][0].subdtype) if _ROW.fields[name][0].subdtype else (name, _ROW.fields[name][0]) for name in _ROW.names], ("comp", np.uint64, 2)])
+    row = np.dtype([("g", np.int64), ("cls", np.uint64, 2), ("n", np.int32), ("pos", np.int32), ("cap", np.int32), ("comp", np.uint64, 2)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty(0, row)
@@ -249,7 +252,7 @@ def _between(percent: int):
             plain = _rows(batch)
             for name in _ROW.names:
                 fresh[name] = plain[name]
-            fresh["comp"] = _halves(batch.column(4))
+            fresh["cap"], fresh["comp"] = batch.column(4).to_numpy(), _halves(batch.column(5))
             rows = np.concatenate([held, fresh])
             if len(rows) == 0:
                 continue
@@ -310,23 +313,25 @@ def similar_documents(
     classes = durable(members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("_id").alias("rep")), "classes")
     heavy = docs.sparkSession.sparkContext.broadcast(_heavy(members, heavy_from, max_heavy))
     sorted_ = _postings(rows, k, percent, heavy).repartition("g").sortWithinPartitions("g", "n", "cls")
-    schema = "g bigint, cls binary, n int, pos int, lead binary, lead_n int, lead_pos int"
+    schema = "g bigint, cls binary, n int, pos int, lead binary, lead_n int"
     columns = durable(sorted_.mapInArrow(_columns, schema), "columns")
 
-    n, pos, other_n, other_pos = F.col("n").cast("bigint"), F.col("pos").cast("bigint"), F.col("lead_n").cast("bigint"), F.col("lead_pos").cast("bigint")
-    after = F.least(n - pos, other_n - other_pos)
-    fits = (100 * F.least(n, other_n) >= percent * F.greatest(n, other_n)) & (
-        (F.least(pos, other_pos) + after) * (100 + percent) >= percent * (n + other_n))
+    fits = 100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")
     stars = columns.filter((F.col("cls") != F.col("lead")) & fits).groupBy("lead", "cls").count().filter(F.col("count") >= shared(percent))
     stars = durable(stars.select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b")).distinct(), "stars")
     links = _links(stars, rows, classes, k, percent)
     roots = durable(components(links), "roots")
 
-    placed = columns.select("g", "cls", "n", "pos").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    placed = durable(placed.select("g", "cls", "n", "pos", F.coalesce("root", "cls").alias("comp")), "placed")
+    # a class's places are renumbered among the n-grams that others have too; a class with fewer than SHARED of them has no partner
+    own = Window.partitionBy("cls")
+    ranked = columns.select("g", "cls", "n", (F.row_number().over(own.orderBy("pos", "g")) - 1).alias("pos"), F.count("*").over(own).alias("_live"))
+    cap = F.expr(f"({percent} * n + 99) div 100") - shared(percent) + F.col("_live")
+    ranked = ranked.filter(F.col("_live") >= shared(percent)).withColumn("cap", cap.cast("int"))
+    placed = ranked.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    placed = durable(placed.select("g", "cls", "n", "pos", "cap", F.coalesce("root", "cls").alias("comp")), "placed")
     mixed = placed.groupBy("g").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("g")
     rest = placed.join(mixed, "g", "left_semi").repartition("g").sortWithinPartitions("g", "comp", "n", "cls")
-    pairs = rest.select("g", "cls", "n", "pos", "comp").mapInArrow(_between(percent), "a binary, b binary").groupBy("a", "b").count()
+    pairs = rest.select("g", "cls", "n", "pos", "cap", "comp").mapInArrow(_between(percent), "a binary, b binary").groupBy("a", "b").count()
     pairs = pairs.filter(F.col("count") >= shared(percent)).select("a", "b")
     pairs = durable(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
     links = durable(links.unionByName(_links(pairs, rows, classes, k, percent)), "links")
