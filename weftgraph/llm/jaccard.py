@@ -316,22 +316,26 @@ def similar_documents(
     schema = "g bigint, cls binary, n int, pos int, lead binary, lead_n int"
     columns = durable(sorted_.mapInArrow(_columns, schema), "columns")
 
-    fits = 100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")
-    stars = columns.filter((F.col("cls") != F.col("lead")) & fits).groupBy("lead", "cls").count().filter(F.col("count") >= shared(percent))
+    # a class's places are renumbered among the n-grams that others have too; a class with fewer than SHARED of them has no partner
+    own = Window.partitionBy("cls")
+    ranked = columns.select(
+        "g", "cls", "n", "lead", "lead_n", (F.row_number().over(own.orderBy("pos", "g")) - 1).alias("pos"), F.count("*").over(own).alias("_live"))
+    cap = F.expr(f"({percent} * n + 99) div 100") - shared(percent) + F.col("_live")
+    ranked = durable(ranked.filter(F.col("_live") >= shared(percent)).withColumn("cap", cap.cast("int")).drop("_live"), "ranked")
+    fits = (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")) & (
+        F.col("cap") * (100 + percent) >= percent * (F.col("n") + F.col("lead_n")))
+    stars = ranked.filter((F.col("cls") != F.col("lead")) & fits).groupBy("lead", "cls").count().filter(F.col("count") >= shared(percent))
     stars = durable(stars.select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b")).distinct(), "stars")
     links = _links(stars, rows, classes, k, percent)
     roots = durable(components(links), "roots")
 
-    # a class's places are renumbered among the n-grams that others have too; a class with fewer than SHARED of them has no partner
-    own = Window.partitionBy("cls")
-    ranked = columns.select("g", "cls", "n", (F.row_number().over(own.orderBy("pos", "g")) - 1).alias("pos"), F.count("*").over(own).alias("_live"))
-    cap = F.expr(f"({percent} * n + 99) div 100") - shared(percent) + F.col("_live")
-    ranked = ranked.filter(F.col("_live") >= shared(percent)).withColumn("cap", cap.cast("int"))
-    placed = ranked.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    placed = durable(placed.select("g", "cls", "n", "pos", "cap", F.coalesce("root", "cls").alias("comp")), "placed")
-    mixed = placed.groupBy("g").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("g")
-    rest = placed.join(mixed, "g", "left_semi").repartition("g").sortWithinPartitions("g", "comp", "n", "cls")
-    pairs = rest.select("g", "cls", "n", "pos", "cap", "comp").mapInArrow(_between(percent), "a binary, b binary").groupBy("a", "b").count()
+    named = roots.withColumnRenamed("node", "cls")
+    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    placed = ranked.join(named, "cls", "left").select("g", "cls", "n", "pos", "cap", F.coalesce("root", "cls").alias("comp"))
+    column = Window.partitionBy("g")  # one shuffle serves the filter and the product
+    mixed = placed.withColumns({"_a": F.min("comp").over(column), "_b": F.max("comp").over(column)}).filter("_a <> _b")
+    rest = mixed.select("g", "cls", "n", "pos", "cap", "comp").sortWithinPartitions("g", "comp", "n", "cls")
+    pairs = rest.mapInArrow(_between(percent), "a binary, b binary").groupBy("a", "b").count()
     pairs = pairs.filter(F.col("count") >= shared(percent)).select("a", "b")
     pairs = durable(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
     links = durable(links.unionByName(_links(pairs, rows, classes, k, percent)), "links")
