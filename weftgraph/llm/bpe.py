@@ -27,7 +27,7 @@ LEAF = 6
 #: Windows of more bytes use a heap.
 HEAP_FROM = 64
 NONE = 1 << 60
-MEMO = 300_000
+MEMO = 120_000
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Characters of text whose pieces are held as Python strings at once.
 PIECES = 1 << 18
@@ -207,19 +207,24 @@ def _encoder(vocabulary, key: str) -> Encoder:
     return _ready[key]
 
 
-def encode_texts(docs: DataFrame, vocabulary_path: str, pattern: str, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode_texts(
+    docs: DataFrame, vocabulary_path: str, pattern: str, text_column: str = "text", keep: list[str] | None = None, round_trip: bool = False,
+) -> DataFrame:
     """One row per row: the ``keep`` columns (default ``doc_id``) and ``ids``, the packed little-endian unsigned 32-bit ids.
 
+    With ``round_trip`` a column of that name says whether decoding gives the text back, found in the same task.
+
     Null texts count as empty and give no ids; repeated rows are encoded one by one; other columns are not read.
     """
     keep = ["doc_id"] if keep is None else keep
     vocabulary, key = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary_path)), str(vocabulary_path)
     rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_column).alias("_text"))
-    schema = ", ".join([f"_k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + ["ids binary"])
+    schema = ", ".join([f"_k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + ["ids binary"] + ["round_trip boolean"] * round_trip)
     n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern_for, memo = splitter(pattern), _encoder(vocabulary, key).memo
+        encoder = _encoder(vocabulary, key)
+        pattern_for, memo = splitter(pattern), encoder.memo
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -232,9 +237,12 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, pattern: str, text_colum
                     else:
                         ids.append(b"".join(_packed(text, compiled.finditer, memo)))
                 columns = [part.column(i) for i in range(n_keep)] + [pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[f"_k{i}" for i in range(n_keep)] + ["ids"])
+                if round_trip:
+                    same = [encoder.decode(np.frombuffer(x, "<u4").tolist()) == (t or "").encode() for x, t in zip(ids, part.column(n_keep).to_pylist(), strict=True)]
+                    columns.append(pa.array(same))
+                yield pa.RecordBatch.from_arrays(columns, names=[f"_k{i}" for i in range(n_keep)] + ["ids"] + ["round_trip"] * round_trip)
 
-    return rows.mapInArrow(run, schema).select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "ids")
+    return rows.mapInArrow(run, schema).select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "ids", *["round_trip"] * round_trip)
 
 
 def decode_ids(encoded: DataFrame, vocabulary_path: str, ids_column: str = "ids") -> DataFrame:
