@@ -3,8 +3,8 @@
 import duckdb
 import pytest
 
-import __spark_entry__ as entry_point
 from tools.check import TABLES, compare
+from weftgraph.catalog import all_oracles, all_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,12 +17,12 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_matches_sql(spark, con, name):
     status, mine, theirs, _, note = compare(spark, name, SF, con)
     assert status in ("ok", "rows"), f"{name}: {status} {mine} {theirs} {note}"
 
 
 def test_every_oracle_has_a_query():
-    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == {"ann_recall"}
+    assert set(all_oracles()) <= set(all_queries())
+    assert set(all_queries()) - set(all_oracles()) == {"ann_recall"}

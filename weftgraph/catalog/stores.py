@@ -80,7 +80,7 @@ def upsert_nodes(spark, sf_dir):
     new = old.filter("start_line % 2 = 1").select(*cols[:5], F.repeat(F.col("name"), 300).alias("docstring"), F.lit(1).alias("v"))
     extra = table(spark, sf_dir, "part").select(F.lit("front").alias("repo"), F.lit("Component").alias("node_type"), F.col("p_brand").alias("file_path"),
                                                 F.col("p_name").alias("name"), F.col("p_size").alias("start_line"), F.lit(None).cast("string").alias("docstring"), F.col("p_partkey").cast("int").alias("v"))
-    return T.upsert_nodes(old, new.unionByName(extra), "v").withColumn("docstring", F.length("docstring")).drop("v")
+    return T.upsert_nodes(old, new.unionByName(extra), "v", max_docstring=2000).withColumn("docstring", F.length("docstring")).drop("v")
 
 
 def containment_edges(spark, sf_dir):
@@ -133,7 +133,7 @@ def layout_round_trip(spark, sf_dir):
 def vector_points(spark, sf_dir):
     chunks = durable(C.chunk_nodes(entities(spark, sf_dir), 400), "chunks")
     vectors = chunks.select("chunk_id", F.array(F.length("content").cast("double")).alias("vector"))
-    fresh = T.vector_points(chunks, vectors).select("chunk_id", "repo", "content", "vector", F.size("metadata").alias("keys"))
+    fresh = T.vector_points(chunks, vectors, max_content=5000).select("chunk_id", "repo", "content", "vector", F.size("metadata").alias("keys"))
     stored = T.upsert_vectors(fresh.filter("repo = 'src1'").withColumn("content", F.lit("stale")), fresh)
     return stored.select("chunk_id", "repo", F.length("content").alias("n"), F.get("vector", F.lit(0)).alias("v"), "keys")
 

@@ -17,7 +17,6 @@ from weftgraph.functions.scalar import dir_name
 ID = r"[A-Za-z_$][A-Za-z0-9_$]*"
 ANNOTATION = r"@[A-Za-z_][A-Za-z0-9_.]*(?:\s*\((?:[^()\"']++|\"[^\"]*+\"|'[^']*+'|\([^()]*+\))*+\))?"
 MODIFIERS = r"(?:(?:public|protected|private|static|final|abstract|synchronized|default)\s+)*"
-BODY_LIMIT = 3000
 CALL_KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "function", "typeof", "new", "super", "await", "import", "synchronized"]
 
 # (kind, line pattern, group of the name)
@@ -174,12 +173,12 @@ def ts_nodes(files: DataFrame) -> DataFrame:
     kept = staged(kept, text=text)
     is_function = F.col("d.kind").isin("arrow", "function")
     kind = F.when(is_function, classify_function(name, F.col("text"))).when(F.col("d.kind") == "type", "Type").otherwise("Interface")
-    signature = F.when(is_function, _signature(name, F.col("text"))).otherwise(F.substring("text", 1, 500))
+    signature = F.when(is_function, _signature(name, F.col("text"))).otherwise(F.col("text"))
     exported = F.col("d.exported") | F.array_contains(separately_exported(F.col("content")), name)
     props = F.when(is_function, F.create_map(
         F.lit("has_jsx"), has_jsx(F.col("text")).cast("string"),
         F.lit("is_async"), F.substring("text", 1, 20).contains("async").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
-    body = F.when(is_function, F.substring("text", 1, BODY_LIMIT)).otherwise("")
+    body = F.when(is_function, F.col("text")).otherwise("")
     return kept.select(*_node(kind, name, d["at"] + 1, d["end"] + 1, signature, body, F.when(is_function, _doc(d)).otherwise(""), exported,
                               F.array().cast("array<string>"), props))
 
@@ -347,7 +346,7 @@ def java_methods(files: DataFrame) -> DataFrame:
     signature = F.concat(returns, F.lit(" "), d["name"], F.lit("("), F.array_join("params", ", "), F.lit(")"))
     props = F.create_map(F.lit("class_name"), F.col("owner.name"), F.lit("class_type"), class_type(_names(F.col("owner.notes"))),
                          F.lit("return_type"), returns, F.lit("parameters"), F.to_json("params"))
-    body = F.substring(_text(d["first"], d["end"]), 1, BODY_LIMIT)
+    body = _text(d["first"], d["end"])
     mapped = F.get(F.filter(notes, lambda a: a["name"].isin(*R.MAPPING_VERBS)), F.lit(0))
     verb = reduce(lambda acc, kv: F.when(mapped["name"] == kv[0], F.lit(kv[1])).otherwise(acc),
                   [kv for kv in R.MAPPING_VERBS.items() if kv[1]], F.coalesce(mapped["method"], F.lit("GET")))

@@ -95,7 +95,8 @@ def scan_content(df: DataFrame, key: str, content: str = "content") -> DataFrame
 
 
 def scan_summary(df: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """Every text with its violation counts; safe means no hard violation. One pass, no shuffle."""
+    """Every text with its violation counts; safe means no hard violation, a null text counts as empty. One pass, no shuffle."""
+    df = df.withColumn(content, F.coalesce(F.col(content), F.lit("")))
     c = F.col(content)
     scores = F.transform(F.filter(string_literals(c), lambda s: ~s.rlike(_EXCLUDED)), shannon_entropy)
     counted = df.select(

@@ -1,6 +1,6 @@
 """Plan shaping for skewed data: durable tables, size checks, running totals and ordered folds.
 
-No helper here holds more than ``max_rows`` rows of one key in one task, whatever the key distribution.
+The helpers aim at no more than ``max_rows`` rows of one key in a task. Range bounds are sampled, so a block can exceed that target somewhat.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ _FALLBACK_DIR: str | None = None
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary folder only where none is set."""
+    """Shared folder named by the cluster. A temporary folder stands in only where none is set and all tasks share this machine."""
     global _FALLBACK_DIR
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _FALLBACK_DIR is None:
         _FALLBACK_DIR = tempfile.mkdtemp(prefix="weftgraph-")
     return _FALLBACK_DIR

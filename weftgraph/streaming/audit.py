@@ -9,10 +9,11 @@ from weftgraph.operators.audit import AUDIT_SCHEMA
 
 
 def audit_stream(spark: SparkSession, path: str, delay: str = "1 hour") -> DataFrame:
-    """Events from JSON-lines files; the same (session, time, type) passes once within the watermark."""
+    """Events from JSON-lines files; an event equal in every field passes once within the watermark."""
     raw = spark.readStream.schema(AUDIT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
     timed = raw.withColumn("ts", F.try_to_timestamp("timestamp")).filter("ts is not null").withWatermark("ts", delay)
-    return timed.dropDuplicatesWithinWatermark(["session_id", "timestamp", "event_type"])
+    hashed = timed.withColumn("_event", F.sha2(F.to_json(F.struct(*AUDIT_SCHEMA.fieldNames())), 256))
+    return hashed.dropDuplicatesWithinWatermark(["_event"]).drop("_event")
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, once: bool = True):

@@ -28,21 +28,23 @@ STATE = T.StructType([
 def limit_stream(events: DataFrame, limits: dict[str, int] | None = None, builds_per_hour: int = R.BUILDS_PER_HOUR,
                  token_limit: int = R.TOKENS_PER_SESSION, delay: str = "1 hour", idle: str = "2 hours") -> DataFrame:
     """``events``: session_id, event_id, ts (timestamp), resource, tokens. Resources are the counted ones, ``build``,
-    ``tokens`` and ``session_start`` (which clears the session). A session that stays idle loses its state.
+    ``tokens`` and ``session_start`` (which clears the session). After ``idle`` without events a session's
+    build times go; its counts and tokens stay. The rows of a session in one micro-batch are decided in time order, however they are batched.
     """
     limits = dict(R.SESSION_LIMITS if limits is None else limits)
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            state.remove()
+            names, values, total, _ = state.get
+            state.update((list(names), list(values), total, []))
             return
         counts, total, builds = {}, 0, []
         if state.exists:
             names, values, total, builds = state.get
             counts, builds = dict(zip(names, values)), list(builds)
         newest = 0
-        for pdf in batches:
+        for pdf in [pd.concat(list(batches))]:
             pdf = pdf.sort_values(["at", "event_id"], kind="mergesort")
             rows = []
             for event_id, at, resource, asked in zip(pdf["event_id"], pdf["at"], pdf["resource"], pdf["tokens"]):
