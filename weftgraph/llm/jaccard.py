@@ -4,8 +4,10 @@
 2. N-grams are put in one global order: by hash, with those of many classes last. Two sets of Jaccard similarity t or more have, in that
    order, at least SHARED n-grams in common among the first ``n - ceil(t * n) + SHARED`` of each. Only this part of the
    incidence matrix is multiplied: rows are shuffled and sorted by n-gram, so each n-gram's column is one block of the product.
-3. Products are added up per pair. Pairs whose sizes, or whose places in the order, bound the overlap below what t needs are
-   discarded, as are pairs with fewer than SHARED products; what is left is compared with whole sets.
+3. Products are added up per pair. Pairs whose sizes, whose places in the order, or whose signatures bound the overlap below what t
+   needs are discarded, as are pairs with fewer than SHARED products; what is left is compared with whole sets. A signature holds the
+   parities of the set's n-grams in 512 buckets: two sets differ in at least as many n-grams as their signatures in bits. Where sets are
+   small enough for that to decide (``SIGNED`` n-grams), a pair is not taken again in a column whose predecessor both sets share.
 4. First each column is multiplied with its smallest set alone. What that links is one component, so that afterwards only
    products between different components are needed: a group of copies costs its length, not its square, and no link that joins
    two components is lost.
@@ -29,6 +31,9 @@ from weftgraph.llm.words import NONSPACE, Words, grams, mix, scan, slices
 from weftgraph.plans.scale import durable
 
 SHARED = 3
+#: Buckets of a signature, and the largest set for which it tells most pairs apart.
+BITS = 512
+SIGNED = 1500
 #: An n-gram of this many classes goes to the end of the order.
 HEAVY_FROM = 4
 MAX_HEAVY = 1 << 20
@@ -75,13 +80,19 @@ def class_of(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """Parities of the n-grams per bucket."""
+    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _members(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(_id, n, cls, pre): pre holds the first n-grams by hash, once per class and task."""
+    """(_id, n, cls, pre, sig): pre holds the first n-grams by hash, sig the signature; both once per class and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for rows, data, offsets in slices(batches):
-            sizes, classes, pre = [], [], []
+            sizes, classes, pre, signatures = [], [], [], []
             for shingles in shingle_sets(scan(data, offsets, NONSPACE), k):
                 cls = class_of(shingles)
                 sizes.append(len(shingles))
@@ -90,11 +101,13 @@ def _members(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 if fresh and len(seen) < SEEN:
                     seen.add(cls)
                 pre.append(shingles[:prefix_length(len(shingles), percent)].view(np.int64) if fresh else None)
+                signatures.append(signature(shingles) if fresh else None)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(pre, pa.list_(pa.int64()))],
-                names=["_id", "n", "cls", "pre"])
+                [rows.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(pre, pa.list_(pa.int64())),
+                 pa.array(signatures, pa.binary())],
+                names=["_id", "n", "cls", "pre", "sig"])
 
-    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, n bigint, cls binary, pre array<bigint>")
+    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, n bigint, cls binary, pre array<bigint>, sig binary")
 
 
 def _heavy(members: DataFrame, heavy_from: int, max_heavy: int) -> np.ndarray:
@@ -145,10 +158,11 @@ def _postings(docs: DataFrame, k: int, percent: int, heavy) -> DataFrame:
     return docs.mapInArrow(run, "g bigint, cls binary, n int, pos int")
 
 
-def _halves(column: pa.Array) -> np.ndarray:
-    """16-byte digests as rows of two numbers."""
+def _halves(column: pa.Array, width: int = 2) -> np.ndarray:
+    """Digests or signatures as rows of ``width`` 8-byte numbers."""
     raw = np.frombuffer(column.buffers()[2], np.uint8) if len(column) else np.zeros(0, np.uint8)
-    return raw[16 * column.offset:16 * (column.offset + len(column))].view(np.uint64).reshape(-1, 2)
+    size = 8 * width
+    return raw[size * column.offset:size * (column.offset + len(column))].view(np.uint64).reshape(-1, width)
 
 
 def _digests(halves: np.ndarray) -> pa.Array:
@@ -214,46 +228,65 @@ def _may_link(n, cap, pos, other_n, other_cap, other_pos, percent: int):
     return (100 * least >= percent * most) & (overlap * (100 + percent) >= percent * (n + other_n))
 
 
+_PLACED = np.dtype(_ROW.descr + [("cap", np.int32), ("prev", np.int64), ("comp", np.uint64, 2), ("sig", np.uint64, BITS // 64)])
+
+
+def _placed(batch: pa.RecordBatch) -> np.ndarray:
+    out, plain = np.empty(batch.num_rows, _PLACED), _rows(batch)
+    for name in _ROW.names:
+        out[name] = plain[name]
+    out["cap"], out["prev"] = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+    out["comp"], out["sig"] = _halves(batch.column(6)), _halves(batch.column(7), BITS // 64)
+    return out
+
+
 def _between(percent: int):
-    """Products between different components of a column; input is sorted by (g, comp)."""
+    """Products between different components of a column as (a, b, w); input is sorted by (g, comp).
+
+    Pairs of signed sets weigh as many products as are asked for, and come once for each run of n-grams that are neighbours in both sets'
+    orders: were the predecessor shared too, the pair would be in its column. Other pairs come once per product.
+    """
+    enough = shared(percent)
 
     def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         comps = rows["comp"]
         opens = np.flatnonzero(np.append(True, (comps[1:] != comps[:-1]).any(1)))
         stops = np.append(opens[1:], len(rows))
         n, pos, cap = (rows[c].astype(np.int64) for c in ("n", "pos", "cap"))
-        lefts, rights, held = [], [], 0
+        prev, sig = np.where(pos > 0, rows["prev"], 0), np.ascontiguousarray(rows["sig"])
+        first, signed = pos == 0, n <= SIGNED
+        held, size = [], 0
         for a, b in zip(opens.tolist(), stops.tolist(), strict=True):
-            step = max(1, (1 << 20) // max(1, len(rows) - b))
+            step = max(1, (1 << 18) // max(1, len(rows) - b))
             for at in range(a, b, step):
                 i, j = np.arange(at, min(b, at + step))[:, None], np.arange(b, len(rows))[None, :]
-                x, y = np.nonzero(_may_link(n[i], cap[i], pos[i], n[j], cap[j], pos[j], percent))
-                lefts.append(x + at)
-                rights.append(y + b)
-                held += len(x)
-                if held > 1 << 18:
-                    yield pack(rows, lefts, rights)
-                    lefts, rights, held = [], [], 0
-        if held:
-            yield pack(rows, lefts, rights)
-
-    def pack(rows: np.ndarray, lefts: list, rights: list) -> pa.RecordBatch:
-        a, b = rows["cls"][np.concatenate(lefts)], rows["cls"][np.concatenate(rights)]
+                short = signed[i] & signed[j]
+                again = short & (prev[i] == prev[j]) & ~first[i] & ~first[j]
+                x, y = np.nonzero(_may_link(n[i], cap[i], pos[i], n[j], cap[j], pos[j], percent) & ~again)
+                x, y = x + at, y + b
+                apart = np.bitwise_count(sig[x] ^ sig[y]).sum(1, dtype=np.int64)
+                near = (100 + percent) * (n[x] + n[y] - apart) >= 2 * percent * (n[x] + n[y])
+                x, y = x[near], y[near]
+                held.append((x, y))
+                size += len(x)
+                if size > 1 << 18:
+                    yield pack(rows, signed, held)
+                    held, size = [], 0
+        if size:
+            yield pack(rows, signed, held)
+
+    def pack(rows: np.ndarray, signed: np.ndarray, held: list) -> pa.RecordBatch:
+        x, y = (np.concatenate([pair[k] for pair in held]) for k in (0, 1))
+        a, b = rows["cls"][x], rows["cls"][y]
         swap = np.array([x > y for x, y in zip(a.view("V16")[:, 0].tolist(), b.view("V16")[:, 0].tolist(), strict=True)])  # as bytes, as Spark
         a[swap], b[swap] = b[swap], a[swap].copy()
-        return pa.RecordBatch.from_arrays([_digests(a), _digests(b)], names=["a", "b"])
-
-    row = np.dtype([("g", np.int64), ("cls", np.uint64, 2), ("n", np.int32), ("pos", np.int32), ("cap", np.int32), ("comp", np.uint64, 2)])
+        weight = np.where(signed[x] & signed[y], enough, 1)
+        return pa.RecordBatch.from_arrays([_digests(a), _digests(b), pa.array(weight, pa.int64())], names=["a", "b", "w"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty(0, row)
+        held = np.empty(0, _PLACED)
         for batch in batches:
-            fresh = np.empty(batch.num_rows, row)
-            plain = _rows(batch)
-            for name in _ROW.names:
-                fresh[name] = plain[name]
-            fresh["cap"], fresh["comp"] = batch.column(4).to_numpy(), _halves(batch.column(5))
-            rows = np.concatenate([held, fresh])
+            rows = np.concatenate([held, _placed(batch)])
             if len(rows) == 0:
                 continue
             edges = np.flatnonzero(rows["g"][1:] != rows["g"][:-1]) + 1
@@ -310,7 +343,7 @@ def similar_documents(
     """
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     members = durable(_members(rows, k, percent), "members")
-    classes = durable(members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("_id").alias("rep")), "classes")
+    classes = durable(members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("_id").alias("rep"), F.max("sig").alias("sig")), "classes")
     heavy = docs.sparkSession.sparkContext.broadcast(_heavy(members, heavy_from, max_heavy))
     sorted_ = _postings(rows, k, percent, heavy).repartition("g").sortWithinPartitions("g", "n", "cls")
     schema = "g bigint, cls binary, n int, pos int, lead binary, lead_n int"
@@ -318,8 +351,10 @@ def similar_documents(
 
     # a class's places are renumbered among the n-grams that others have too; a class with fewer than SHARED of them has no partner
     own = Window.partitionBy("cls")
+    order = own.orderBy("pos", "g")
     ranked = columns.select(
-        "g", "cls", "n", "lead", "lead_n", (F.row_number().over(own.orderBy("pos", "g")) - 1).alias("pos"), F.count("*").over(own).alias("_live"))
+        "g", "cls", "n", "lead", "lead_n", (F.row_number().over(order) - 1).alias("pos"), F.lag("g", 1, 0).over(order).alias("prev"),
+        F.count("*").over(own).alias("_live"))
     cap = F.expr(f"({percent} * n + 99) div 100") - shared(percent) + F.col("_live")
     ranked = durable(ranked.filter(F.col("_live") >= shared(percent)).withColumn("cap", cap.cast("int")).drop("_live"), "ranked")
     fits = (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")) & (
@@ -331,12 +366,13 @@ def similar_documents(
 
     named = roots.withColumnRenamed("node", "cls")
     named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
-    placed = ranked.join(named, "cls", "left").select("g", "cls", "n", "pos", "cap", F.coalesce("root", "cls").alias("comp"))
+    signed = classes.filter("sig IS NOT NULL").select("cls", "sig")
+    placed = ranked.join(named, "cls", "left").join(signed, "cls").select("g", "cls", "n", "pos", "cap", "prev", F.coalesce("root", "cls").alias("comp"), "sig")
     column = Window.partitionBy("g")  # one shuffle serves the filter and the product
     mixed = placed.withColumns({"_a": F.min("comp").over(column), "_b": F.max("comp").over(column)}).filter("_a <> _b")
-    rest = mixed.select("g", "cls", "n", "pos", "cap", "comp").sortWithinPartitions("g", "comp", "n", "cls")
-    pairs = rest.mapInArrow(_between(percent), "a binary, b binary").groupBy("a", "b").count()
-    pairs = pairs.filter(F.col("count") >= shared(percent)).select("a", "b")
+    rest = mixed.select("g", "cls", "n", "pos", "cap", "prev", "comp", "sig").sortWithinPartitions("g", "comp", "n", "cls")
+    pairs = rest.mapInArrow(_between(percent), "a binary, b binary, w bigint").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    pairs = pairs.filter(F.col("w") >= shared(percent)).select("a", "b")
     pairs = durable(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
     links = durable(links.unionByName(_links(pairs, rows, classes, k, percent)), "links")
     roots = durable(components(links), "roots")
