@@ -221,10 +221,14 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _may_link(n, cap, pos, other_n, other_cap, other_pos, percent: int):
     """Whether sizes, and the places of one shared n-gram among those that any other class has, still allow the overlap that is needed.
 
-    ``cap`` is a set's size without the prefix n-grams that no other class has: no partner can share these.
+    ``cap`` is a set's size without the prefix n-grams that no other class has in its own prefix. A partner whose prefix ends earlier may hold
+    such an n-gram after it, but what the two share after the earlier end is no more than the rest of the set whose prefix ends there. So
+    either set's count holds with the longer of both rests.
     """
     least, most = np.minimum(n, other_n), np.maximum(n, other_n)
-    overlap = np.minimum(pos, other_pos) + np.minimum(cap - pos, other_cap - other_pos)
+    rest = needed(most, percent)
+    live = np.minimum(cap - needed(n, percent) - pos, other_cap - needed(other_n, percent) - other_pos)
+    overlap = np.minimum(pos, other_pos) + np.minimum(live + rest, np.minimum(n - pos, other_n - other_pos))
     return (100 * least >= percent * most) & (overlap * (100 + percent) >= percent * (n + other_n))
 
 
