@@ -2,9 +2,10 @@
 
 The models are first-order chains over the characters of ``[A-Za-z0-9+/_=-]``. They are trained on the documents themselves,
 labelled by the fixed kinds: what these find are samples of random strings, all other runs of such characters are samples of
-ordinary identifiers and words. Counts cover all rows; each task sends one table of counts, whatever its input. A run of
-``min_length`` or more characters outside the fixed spans is a ``random`` span when its mean log-likelihood ratio reaches
-``min_ratio``.
+ordinary identifiers and words. Counts cover all rows; each task sends one table of counts, whatever its input. Fixed spans cut
+a run into pieces. A piece of ``min_length`` or more characters is a ``random`` span when its mean log-likelihood ratio reaches
+``min_ratio``; else its best part of that length and mean is one, widened to whole letters and digits between other
+symbols, and what lies before and after it is searched alike.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ _HINT = re.compile(rb"[:=]")
 
 ALPHABET = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SYMBOLS = len(ALPHABET)
+#: Letters and digits come before the other symbols.
+PLAIN = 62
 _CODE = np.full(256, -1, np.int16)
 _CODE[np.frombuffer(ALPHABET, np.uint8)] = np.arange(SYMBOLS)
 
@@ -130,6 +133,35 @@ def likelihood_ratio(counts: np.ndarray, prior: float = PRIOR) -> np.ndarray:
     return np.log(chain[0]) - np.log(chain[1])
 
 
+def random_parts(codes: np.ndarray, ratio: np.ndarray, min_length: int, min_ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of the random parts of one piece of symbols, by start. ``ratio`` is the flat table."""
+    gain = np.zeros(len(codes))  # sums up to each symbol, less what a mean of min_ratio has
+    np.cumsum(ratio[codes[:-1] * SYMBOLS + codes[1:]].astype(np.float64) - min_ratio, out=gain[1:])
+    apart = np.flatnonzero(codes >= PLAIN)
+    steps = max(1, min_length - 1)
+    found, open_ = [], [(0, len(codes))]
+    while open_:
+        a, b = open_.pop()
+        if b - a < max(2, min_length):
+            continue
+        if gain[b - 1] >= gain[a]:
+            found.append((a, b))
+            continue
+        sums = gain[a:b]
+        lowest = np.minimum.accumulate(sums[:-steps])
+        last = int(np.argmax(sums[steps:] - lowest)) + steps
+        if sums[last] < lowest[last - steps]:
+            continue
+        start, end = a + int(np.argmin(sums[:last - steps + 1])), a + last + 1
+        k = int(np.searchsorted(apart, start, side="right"))  # the other symbols around both ends
+        start = max(a, min(start, int(apart[k - 1]) + 1 if k else a))
+        k = int(np.searchsorted(apart, end - 1))
+        end = min(b, max(end, int(apart[k]) if k < len(apart) else b))
+        found.append((start, end))
+        open_ += [(a, start), (end, b)]
+    return sorted(found)
+
+
 def scan_secrets(
     docs: DataFrame, text_column: str = "text", keep: list[str] | None = None, ratio: np.ndarray | None = None,
     min_length: int = MIN_LENGTH, min_ratio: float = MIN_RATIO,
@@ -151,17 +183,19 @@ def scan_secrets(
         for part, data, offsets in slices(batches, n_keep):
             found = slice_spans(data, offsets)
             codes, follows = _symbols(data, offsets)
+            for i, spans in enumerate(found):
+                for a, b, _ in spans:
+                    codes[int(offsets[i]) + a:int(offsets[i]) + b] = -1
+            follows[:-1] &= (codes[:-1] >= 0) & (codes[1:] >= 0)
             opens = codes >= 0
             opens[1:] &= ~follows[:-1]
             starts = np.flatnonzero(opens)
             stops = np.flatnonzero((codes >= 0) & ~follows) + 1
             long = stops - starts >= min_length
             for start, stop in zip(starts[long].tolist(), stops[long].tolist(), strict=True):
-                run_ = codes[start:stop].astype(np.int64)
                 i = int(np.searchsorted(offsets, start, side="right")) - 1
-                a, b = start - int(offsets[i]), stop - int(offsets[i])
-                if flat[run_[:-1] * SYMBOLS + run_[1:]].mean() >= min_ratio and all(b <= x or a >= y for x, y, _ in found[i]):
-                    found[i].append((a, b, 3))
+                at = start - int(offsets[i])
+                found[i] += [(at + a, at + b, 3) for a, b in random_parts(codes[start:stop].astype(np.int64), flat, min_length, min_ratio)]
             out = []
             for i, spans in enumerate(found):
                 if not spans:
