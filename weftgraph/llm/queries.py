@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, chat, decontaminate, jaccard, licenses, phrases, quality, repeats, secrets, shards, toxicity
+from weftgraph.llm import bpe, chat, decontaminate, jaccard, lexical, licenses, phrases, quality, repeats, secrets, shards, toxicity
 from weftgraph.llm.phrase_sql import OP11_SQL
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -70,6 +70,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -80,7 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_license_scans, op3_quality_rules, op4_secret_scans, op5_benchmark_decontamination, op6_ngram_jaccard_join,
-        op7_toxicity, op8_byte_level_bpe, op9_suffix_array_dedup, op10_sharding, op11_phrase_collocations, pipeline,
+        op7_toxicity, op8_byte_level_bpe, op9_suffix_array_dedup, op10_sharding, op11_phrase_collocations,
+        op12_ranked_lexical_search, pipeline,
     )
 }
 
@@ -102,4 +107,4 @@ SELECT conv_id, n_turns, sha256(body) AS turns_sha256, length(masked) AS loss_ch
 FROM ordered
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op11_phrase_collocations": OP11_SQL}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op11_phrase_collocations": OP11_SQL, "op12_ranked_lexical_search": lexical.OP12_SQL}
