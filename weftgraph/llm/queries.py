@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, chat, decontaminate, jaccard, lexical, licenses, phrases, quality, repeats, secrets, shards, toxicity
+from weftgraph.llm import bpe, chat, decontaminate, extraction, jaccard, lexical, licenses, phrases, quality, repeats, secrets, shards, toxicity
 from weftgraph.llm.phrase_sql import OP11_SQL
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -74,6 +74,10 @@ def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_texts(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -85,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_formatting, op2_license_scans, op3_quality_rules, op4_secret_scans, op5_benchmark_decontamination, op6_ngram_jaccard_join,
         op7_toxicity, op8_byte_level_bpe, op9_suffix_array_dedup, op10_sharding, op11_phrase_collocations,
-        op12_ranked_lexical_search, pipeline,
+        op12_ranked_lexical_search, op13_html_extraction, pipeline,
     )
 }
 
