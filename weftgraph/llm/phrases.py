@@ -23,8 +23,8 @@ from weftgraph.plans.scale import durable
 MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
-#: Text bytes of one shard; its index takes about 25 times as much.
-SHARD = 8 << 20
+#: Text bytes of one shard; its index takes about 60 times as much.
+SHARD = 3 << 20
 #: Bits of the table of frequent words or pairs: 16 an entry, no more than this (16 MB).
 MAX_BITS = 1 << 27
 
