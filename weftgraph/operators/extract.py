@@ -1,7 +1,7 @@
 """Entities, imports, calls and relationship specs from source texts.
 
-Everything happens inside each file's row (higher-order functions over its lines): one scan, no shuffle, texts never
-move. Brackets inside strings and comments are counted like any other; that is the known loss against a parser.
+Everything happens inside each file's row: one scan, no shuffle, texts never move. A lexer blanks out strings and comments and gives the end
+of what starts on each line (``functions/lexer.py``); declarations are found by patterns over the lines that are left, which is the known loss against a parser.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import rules as R
+from weftgraph.functions.lexer import FILLER, lexed
 from weftgraph.functions.scalar import dir_name
 
 ID = r"[A-Za-z_$][A-Za-z0-9_$]*"
@@ -34,10 +35,6 @@ JAVA_DECLARATIONS = [
 ]
 
 
-def _count(c: Column, chars: str) -> Column:
-    return F.length(c) - F.length(F.regexp_replace(c, f"[{chars}]", ""))
-
-
 def _declared(line: Column, declarations) -> Column:
     """struct(kind, name) of the first declaration pattern that matches, else NULL."""
     return F.coalesce(*[
@@ -45,17 +42,16 @@ def _declared(line: Column, declarations) -> Column:
         for kind, p, g in declarations])
 
 
-def _entities(declarations, brace_kinds: list[str], candidate: str) -> tuple[Column, Column]:
+def _entities(declarations, candidate: str) -> tuple[Column, Column]:
     """(labelled lines, fold to declarations). ``candidate`` is a cheap test that most lines fail."""
-    def label(line: Column, i: Column) -> Column:
-        trimmed = F.ltrim(line)
+    def label(code: Column, i: Column) -> Column:
+        line, trimmed = F.get("lines", i), F.ltrim(code)
         return F.struct(
-            i.alias("i"), F.when(line.rlike(candidate), _declared(line, declarations)).alias("d"),
+            i.alias("i"), F.when(code.rlike(candidate), _declared(code, declarations)).alias("d"),
             (trimmed.startswith("@") & trimmed.rlike(rf"^(?:{ANNOTATION}\s*)+$")).alias("note"),
-            trimmed.startswith("/**").alias("doc"), F.rtrim(line).endswith("*/").alias("doc_end"),
-            (trimmed.startswith("*") | trimmed.startswith("//") | trimmed.startswith("/*")).alias("comment"))
+            (F.ltrim(line).startswith("/**") & ~trimmed.startswith(FILLER)).alias("doc"), F.rtrim(line).endswith("*/").alias("doc_end"))
 
-    labelled = F.transform("lines", label)
+    labelled = F.transform("code", label)
     none = F.array().cast("array<struct<kind:string,name:string,at:int,first:int,doc_from:int,doc_to:int>>")
     start = F.struct(F.lit(-1).alias("run"), F.lit(-1).alias("doc_from"), F.lit(-1).alias("doc_to"), F.lit(False).alias("open"), none.alias("out"))
 
@@ -63,7 +59,7 @@ def _entities(declarations, brace_kinds: list[str], candidate: str) -> tuple[Col
         begins = x["doc"] & ~acc["open"]
         inside = acc["open"] | begins
         closes = inside & x["doc_end"]
-        declares = x["d"].isNotNull() & ~inside & ~x["comment"]
+        declares = x["d"].isNotNull() & ~inside
         first = F.when(acc["run"] >= 0, acc["run"]).otherwise(x["i"])
         item = F.struct(
             x["d"]["kind"].alias("kind"), x["d"]["name"].alias("name"), x["i"].alias("at"), first.alias("first"),
@@ -79,44 +75,20 @@ def _entities(declarations, brace_kinds: list[str], candidate: str) -> tuple[Col
     return labelled, found
 
 
-def _end_of(decl: Column, brace_kinds: list[str]) -> Column:
-    """Last line: brackets are balanced again; some kinds must have opened a brace first."""
-    needs = decl["kind"].isin(*brace_kinds)
-    begin = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("seen"), F.lit(-1).alias("end"), decl["at"].alias("j"))
-
-    def step(acc: Column, x: Column) -> Column:
-        depth, seen = acc["depth"] + x["net"], acc["seen"] | x["brace"]
-        stop = (acc["end"] < 0) & (depth <= 0) & F.when(needs, seen | x["semi"]).otherwise(~x["goes_on"])
-        return F.struct(depth.alias("depth"), seen.alias("seen"), F.when(stop, acc["j"]).otherwise(acc["end"]).alias("end"), (acc["j"] + 1).alias("j"))
-
-    tail = F.slice("brackets", decl["at"] + 1, F.size("brackets"))
-    return F.aggregate(tail, begin, step, lambda acc: F.when(acc["end"] >= 0, acc["end"]).otherwise(acc["j"] - 1))
-
-
-def _brackets() -> Column:
-    def one(line: Column, i: Column) -> Column:
-        follows = F.coalesce(F.ltrim(F.get("lines", i + 1)).rlike(r"^[|&.?:]"), F.lit(False))
-        return F.struct(
-            (_count(line, r"({\[") - _count(line, r")}\]")).alias("net"), line.contains("{").alias("brace"),
-            F.rtrim(line).endswith(";").alias("semi"), (F.rtrim(line).rlike(r"(=>|[=,(|&:?])$") | follows).alias("goes_on"))
-
-    return F.transform("lines", one)
-
-
 def staged(df: DataFrame, **columns: Column) -> DataFrame:
     """Columns computed once per row: a generator in between keeps the optimizer from copying them into lambdas."""
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def _spans(files: DataFrame, declarations, brace_kinds: list[str], candidate: str) -> DataFrame:
-    """Files with ``lines`` and ``decls``: array of declarations with their last line ``end``."""
-    lined = staged(files, lines=F.split("content", "\n"))
-    labelled, found = _entities(declarations, brace_kinds, candidate)
-    marked = staged(staged(lined, labelled=labelled, brackets=_brackets()), found=found)
-    ended = F.transform("found", lambda d: F.struct(
-        d["kind"].alias("kind"), d["name"].alias("name"), d["at"].alias("at"), d["first"].alias("first"),
-        d["doc_from"].alias("doc_from"), d["doc_to"].alias("doc_to"), _end_of(d, brace_kinds).alias("end")))
-    return staged(marked, decls=ended).drop("labelled", "brackets", "found")
+def _spans(files: DataFrame, declarations, brace_kinds: list[str], candidate: str, language: str) -> DataFrame:
+    """Files with ``lines``, ``code`` (lines without comments and strings) and ``decls``: array of declarations with their last line ``end``."""
+    parsed = lexed(files.select("repo", "path", "content"), language).withColumnRenamed("code", "blanked")
+    lined = staged(parsed, lines=F.split("content", "\n"), code=F.split("blanked", "\n")).drop("blanked")
+    labelled, found = _entities(declarations, candidate)
+    marked = staged(staged(lined, labelled=labelled), found=found)
+    ended = F.transform("found", lambda d: d.withField(
+        "end", F.when(d["kind"].isin(*brace_kinds), F.get("braced", d["at"])).otherwise(F.get("plain", d["at"]))))
+    return staged(marked, decls=ended).drop("labelled", "found", "braced", "plain")
 
 
 def _text(first: Column, last: Column) -> Column:
@@ -158,7 +130,7 @@ def _signature(name: Column, text: Column) -> Column:
 
 def ts_nodes(files: DataFrame) -> DataFrame:
     """Functions, components, hooks, type aliases and interfaces of TypeScript files (repo, path, content)."""
-    spans = _spans(files, TS_DECLARATIONS, ["function", "interface"], r"\b(?:export|function|type|interface)\b")
+    spans = _spans(files, TS_DECLARATIONS, ["function", "interface"], r"\b(?:export|function|type|interface)\b", "typescript")
     # one function per name and file: exported ones first, then file order
     rows = spans.withColumn("decls", F.transform("decls", lambda d: d.withField("exported", F.get("lines", d["at"]).rlike(r"^\s*export\b"))))
     rows = rows.withColumn("names", F.transform(F.filter("decls", lambda d: d["kind"].isin("arrow", "function")), lambda d: F.struct(
@@ -292,7 +264,7 @@ def _annotations_of(d: Column) -> Column:
 
 
 def _java_spans(files: DataFrame) -> DataFrame:
-    spans = _spans(files, JAVA_DECLARATIONS, ["class", "constructor", "method"], r"\bclass\b|\(")
+    spans = _spans(files, JAVA_DECLARATIONS, ["class", "constructor", "method"], r"\bclass\b|\(", "java")
     classes = F.filter("decls", lambda d: d["kind"] == "class")
     rows = spans.withColumn("classes", F.transform(classes, lambda d: d.withField("notes", F.transform(_annotations_of(d), parse_annotation))))
     return rows.select("repo", "path", "lines", "classes", F.explode("decls").alias("d"))
