@@ -24,7 +24,7 @@ MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
 #: Text bytes of one shard; its index takes about 60 times as much.
-SHARD = 3 << 20
+SHARD = 2 << 20
 #: Bits of the table of frequent words or pairs: 16 an entry, no more than this (16 MB).
 MAX_BITS = 1 << 27
 
@@ -114,19 +114,11 @@ class Shard:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
-    langs, texts, size = [], [], 0
-    for part, data, offsets in slices(batches, 1):
-        names = part.column(0).to_pylist()
-        for i in range(part.num_rows):
-            if offsets[i + 1] > offsets[i]:
-                langs.append(names[i])
-                texts.append(data[offsets[i]:offsets[i + 1]].tobytes())
-                size += len(texts[-1])
-        if size >= SHARD:
-            yield Shard(np.array(langs, dtype=object), texts)
-            langs, texts, size = [], [], 0
-    if texts:
-        yield Shard(np.array(langs, dtype=object), texts)
+    for part, data, offsets in slices(batches, 1, SHARD):
+        filled = np.flatnonzero(np.diff(offsets))
+        if len(filled):
+            langs = np.array(part.column(0).to_pylist(), dtype=object)[filled]
+            yield Shard(langs, [data[offsets[i]:offsets[i + 1]].tobytes() for i in filled])
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
