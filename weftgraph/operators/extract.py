@@ -229,11 +229,14 @@ def spec_side(path: Column, kind: Column, name: Column, line: Column) -> Column:
     return F.struct(kind.alias("node_type"), path.alias("file_path"), name.alias("name"), line.cast("int").alias("line"))
 
 
+def hook_names(body: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(body, F.lit(r"\b(use[A-Z]\w*)\s*\("), F.lit(1)))
+
+
 def uses_hook_specs(nodes: DataFrame) -> DataFrame:
     """USES_HOOK from components to hooks by name, anywhere."""
     null = F.lit(None).cast("string")
-    hooks = F.array_distinct(F.regexp_extract_all("body", F.lit(r"\b(use[A-Z]\w*)\s*\("), F.lit(1)))
-    return nodes.filter("node_type = 'Component'").select("*", F.explode(hooks).alias("hook")).select(
+    return nodes.filter("node_type = 'Component'").select("*", F.explode(hook_names(F.col("body"))).alias("hook")).select(
         spec_side(F.col("file_path"), F.col("node_type"), F.col("name"), F.col("start_line")).alias("src"), F.lit("USES_HOOK").alias("rel_type"),
         spec_side(null, F.lit("Hook"), F.col("hook"), null).alias("dst"), F.create_map().cast("map<string,string>").alias("props"))
 
@@ -339,35 +342,41 @@ def endpoints(methods: DataFrame) -> DataFrame:
                            F.array().cast("array<string>"), props))
 
 
-def structural_edges(methods: DataFrame) -> DataFrame:
-    """HAS_METHOD from the class (by the class's own line) and EXPOSED_BY from the endpoint, as resolved edges."""
+def structural_edges(methods: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """HAS_METHOD from the class (by the class's own line) and EXPOSED_BY from the endpoint, as resolved edges with the ``keep`` columns of the method."""
     owner = F.concat_ws(":", "file_path", F.lit("Class"), F.col("props")["class_name"], F.col("class_line").cast("string"))
     endpoint = F.concat_ws(":", "file_path", F.lit("APIEndpoint"), F.concat_ws(" ", "endpoint.http_method", "endpoint.path"), F.col("start_line").cast("string"))
-    none = F.create_map().cast("map<string,string>").alias("props")
-    has = methods.select(owner.alias("src"), F.lit("HAS_METHOD").alias("rel_type"), F.col("node_id").alias("dst"), none)
-    return has.unionByName(methods.filter("endpoint is not null").select(endpoint.alias("src"), F.lit("EXPOSED_BY").alias("rel_type"), F.col("node_id").alias("dst"), none))
+    none, kept = F.create_map().cast("map<string,string>").alias("props"), keep or []
+    has = methods.select(*kept, owner.alias("src"), F.lit("HAS_METHOD").alias("rel_type"), F.col("node_id").alias("dst"), none)
+    return has.unionByName(methods.filter("endpoint is not null").select(*kept, endpoint.alias("src"), F.lit("EXPOSED_BY").alias("rel_type"), F.col("node_id").alias("dst"), none))
 
 
-def depends_on_specs(files: DataFrame) -> DataFrame:
-    """DEPENDS_ON from a class to the types of its constructor parameters."""
+def depends_on_specs(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """DEPENDS_ON from a class to the types of its constructor parameters, with the ``keep`` columns of the file."""
     rows = _with_class(_java_spans(files).filter("d.kind = 'constructor'")).filter("owner.name = d.name")
     params = F.explode(_parameters(_header(F.col("d")))).alias("param")
     null = F.lit(None).cast("string")
-    rows = rows.select("path", F.col("owner.name").alias("class_name"), params).withColumn(
+    kept = keep or []
+    rows = rows.select(*kept, F.col("path").alias("_path"), F.col("owner.name").alias("class_name"), params).withColumn(
         "dep", F.regexp_extract("param", rf"(?s)^(?:{ANNOTATION}\s+|final\s+)*(.+?)\s+{ID}$", 1)).filter("dep <> ''")
     return rows.select(
-        spec_side(F.col("path"), F.lit("Class"), F.col("class_name"), null).alias("src"), F.lit("DEPENDS_ON").alias("rel_type"),
+        *kept, spec_side(F.col("_path"), F.lit("Class"), F.col("class_name"), null).alias("src"), F.lit("DEPENDS_ON").alias("rel_type"),
         spec_side(null, F.lit("Class"), F.col("dep"), null).alias("dst"), F.create_map(F.lit("injection_type"), F.lit("constructor")).alias("props"))
 
 
+def call_names(nodes: DataFrame) -> DataFrame:
+    """A row per node and name that its body calls, without keywords and the node's own name."""
+    names = F.array_distinct(F.regexp_extract_all("body", F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1)))
+    found = nodes.filter("body <> ''").select("repo", "file_path", "node_id", "name", F.explode(names).alias("callee"))
+    return found.filter(~F.col("callee").isin(*CALL_KEYWORDS) & (F.col("callee") != F.col("name")))
+
+
 def call_edges(nodes: DataFrame) -> DataFrame:
     """CALLS from a body to functions of that name in the same repo: the one in the same file, else the first by path and line.
 
     One definition per name is looked up, so a common name never multiplies its callers by its definitions.
     """
-    callers = nodes.filter("body <> ''").select("repo", "file_path", F.col("node_id").alias("src"), F.col("name").alias("own"), F.explode(F.array_distinct(
-        F.regexp_extract_all("body", F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1)))).alias("callee"))
-    callers = callers.filter(~F.col("callee").isin(*CALL_KEYWORDS) & (F.col("callee") != F.col("own")))
+    callers = call_names(nodes).select("repo", "file_path", F.col("node_id").alias("src"), "callee")
     targets = nodes.filter(F.col("node_type").isin("Function", "Hook", "Component")).select("repo", "file_path", F.col("name").alias("callee"), "node_id", "start_line")
     here = targets.groupBy("repo", "file_path", "callee").agg(F.min_by("node_id", "start_line").alias("near"))
     anywhere = targets.groupBy("repo", "callee").agg(F.min_by("node_id", F.struct("file_path", "start_line")).alias("far"))
