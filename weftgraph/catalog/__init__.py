@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["links", "graphs", "search", "safety", "policies", "talks", "edits", "chunks", "code", "shapes", "stores"]
+AREAS = ["links", "graphs", "search", "safety", "policies", "talks", "edits", "chunks", "code", "shapes", "stores", "stored"]
 
 
 def _merged(attribute: str) -> dict:
