@@ -28,7 +28,7 @@ def hot_log(spark, n=600, seed=3):
 def test_running_totals_by_blocks(spark):
     rows, df = hot_log(spark)
     got = {(r.session_id, r.event_id): r.t for r in scale.running_totals(
-        df, ["session_id"], ["event_id"], {"t": F.col("tokens")}, max_rows=20).collect()}
+        df, ["session_id"], ["event_id"], {"t": F.col("tokens")}, max_rows=20, blocks=8).collect()}
     sums = defaultdict(int)
     for s, i, _, t in rows:
         sums[s] += t
@@ -39,7 +39,7 @@ def test_running_totals_by_blocks(spark):
 def test_token_budget_by_blocks(spark):
     rows, df = hot_log(spark)
     for max_rows in (20, 1_000_000):
-        got = {r.event_id: (r.allowed, r.projected) for r in L.limit_tokens(df, 700, max_rows).collect()}
+        got = {r.event_id: (r.allowed, r.projected) for r in L.limit_tokens(df, 700, max_rows, 8).collect()}
         total = defaultdict(int)
         for s, i, _, t in rows:
             ok = total[s] + t <= 700
@@ -51,7 +51,7 @@ def test_token_budget_by_blocks(spark):
 def test_build_limit_by_blocks(spark):
     rows, df = hot_log(spark)
     for max_rows in (20, 1_000_000):
-        got = {r.event_id: (r.allowed, r.current) for r in L.limit_builds(df, 2, max_rows).collect()}
+        got = {r.event_id: (r.allowed, r.current) for r in L.limit_builds(df, 2, max_rows, 8).collect()}
         kept = defaultdict(list)
         for s, i, us, _ in rows:
             recent = [t for t in kept[s] if t > us - L.HOUR]
@@ -130,5 +130,5 @@ def test_fold_passes_state_across_many_blocks(spark):
             out.append(state[0])
         return {"c": out}, state
 
-    got = scale.ordered_fold(df, ["k"], ["o"], fold, [0], [T.StructField("c", T.LongType())], max_rows=30)
+    got = scale.ordered_fold(df, ["k"], ["o"], fold, [0], [T.StructField("c", T.LongType())], max_rows=30, blocks=8)
     assert all(r.c == r.o + 1 for r in got.collect()) and got.count() == 500

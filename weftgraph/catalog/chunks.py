@@ -18,9 +18,9 @@ def entities(spark, sf_dir):
     return d.select(
         F.concat(F.lit("doc"), "doc_id").alias("node_id"), F.lit("Function").alias("node_type"), F.concat(F.lit("d"), "doc_id").alias("name"),
         F.concat(F.lit("f/"), "source").alias("file_path"), F.col("source").alias("repo"), F.col("lang").alias("language"),
-        F.lit(1).alias("start_line"), F.col("n_chars").cast("int").alias("end_line"), F.when(F.col("n_chars") % 7 == 0, "").otherwise(F.col("lang")).alias("signature"),
+        F.lit(1).alias("start_line"), F.col("n_chars").cast("int").alias("end_line"), F.col("lang").alias("signature"),
         F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("/** "), "text")).otherwise("").alias("docstring"),
-        F.when(F.col("n_chars") % 7 == 0, "").otherwise(F.col("text")).alias("body"),
+        F.col("text").alias("body"),
         F.when(F.col("n_chars") % 2 == 0, F.array("lang", "source")).otherwise(F.array().cast("array<string>")).alias("annotations"),
         (F.col("n_chars") % 2 == 0).alias("exported"), F.create_map(F.lit("kind"), F.col("lang")).alias("props"))
 
@@ -75,7 +75,7 @@ QUERIES = {f.__name__: f for f in (chunk_pieces, chunk_parents, embed_cache_spli
 
 def node_sql(max_tokens: int) -> str:
     return f"""WITH RECURSIVE n AS (SELECT 'doc' || doc_id AS id, 'd' || doc_id AS name, 'f/' || source AS file_path, n_chars, lang, source,
-   CASE WHEN n_chars % 7 = 0 THEN '' ELSE lang END AS sig, CASE WHEN n_chars % 3 = 0 THEN '/** ' || text ELSE '' END AS doc, CASE WHEN n_chars % 7 = 0 THEN '' ELSE text END AS body FROM documents),
+   lang AS sig, CASE WHEN n_chars % 3 = 0 THEN '/** ' || text ELSE '' END AS doc, text AS body FROM documents),
  h AS (SELECT *, '// Function: ' || name || chr(10) || '// File: ' || file_path || chr(10) || '// Lines: 1-' || n_chars AS head,
    concat_ws(chr(10), CASE WHEN sig <> '' THEN '// Signature: ' || sig END, nullif(doc, ''), nullif(body, '')) AS raw FROM n),
  c AS (SELECT *, CASE WHEN regexp_replace(raw, '\\s', '', 'g') = '' THEN head || chr(10) || '// (no signature, docstring, or body captured)' ELSE raw END AS content FROM h),

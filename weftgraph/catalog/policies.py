@@ -33,7 +33,7 @@ def build_rate(spark, sf_dir):
 
 def build_rate_blocks(spark, sf_dir):
     """The same through range-split blocks, as for a hot session."""
-    return L.trailing_counts(log(spark, sf_dir), max_rows=40).select("session_id", "event_id", "recent")
+    return L.trailing_counts(log(spark, sf_dir), max_rows=40, blocks=8).select("session_id", "event_id", "recent")
 
 
 def build_limit(spark, sf_dir):
@@ -45,7 +45,7 @@ def token_budget(spark, sf_dir):
 
 
 def token_budget_blocks(spark, sf_dir):
-    return L.limit_tokens(log(spark, sf_dir), TOKEN_LIMIT, max_rows=40).select("session_id", "event_id", "tokens", "allowed", "projected")
+    return L.limit_tokens(log(spark, sf_dir), TOKEN_LIMIT, max_rows=40, blocks=8).select("session_id", "event_id", "tokens", "allowed", "projected")
 
 
 def usage_summary(spark, sf_dir):
@@ -94,10 +94,10 @@ def _pick(items: list[str], index: str) -> str:
     return f"CASE ({index}) % {len(items)} " + " ".join(f"WHEN {i} THEN {quoted(v)}" for i, v in enumerate(items)) + " END"
 
 
-# Each turn's whole text, followed by one phrase from the rule lists; both engines run these texts.
+# Each turn's whole text, followed by one phrase from the rule lists, and a short last turn for every conversation; both engines run these texts.
 ASKED_SQL = f"SELECT conv_id, turn, concat(text, ' ', {_pick(_PHRASES, 'conv_id * 7 + turn')}) AS query FROM conversations"
-TURN_SQL = f"""SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 11 = 10 THEN ' hi ' ELSE concat(text, ' ', {_pick(_INTENTS, 'conv_id * 5 + turn')}) END AS text
-  FROM conversations"""
+TURN_SQL = f"""SELECT conv_id, turn, role, concat(text, ' ', {_pick(_INTENTS, 'conv_id * 5 + turn')}) AS text FROM conversations
+  UNION ALL SELECT conv_id, max(turn) + 1, 'user', ' hi ' FROM conversations GROUP BY conv_id"""
 
 
 def asked(spark, sf_dir):

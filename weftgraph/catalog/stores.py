@@ -80,7 +80,7 @@ def upsert_nodes(spark, sf_dir):
     new = old.filter("start_line % 2 = 1").select(*cols[:5], F.repeat(F.col("name"), 300).alias("docstring"), F.lit(1).alias("v"))
     extra = table(spark, sf_dir, "part").select(F.lit("front").alias("repo"), F.lit("Component").alias("node_type"), F.col("p_brand").alias("file_path"),
                                                 F.col("p_name").alias("name"), F.col("p_size").alias("start_line"), F.lit(None).cast("string").alias("docstring"), F.col("p_partkey").cast("int").alias("v"))
-    return T.upsert_nodes(old, new.unionByName(extra), "v", max_docstring=2000).withColumn("docstring", F.length("docstring")).drop("v")
+    return T.upsert_nodes(old, new.unionByName(extra), "v").withColumn("docstring", F.length("docstring")).drop("v")
 
 
 def containment_edges(spark, sf_dir):
@@ -133,7 +133,7 @@ def layout_round_trip(spark, sf_dir):
 def vector_points(spark, sf_dir):
     chunks = durable(C.chunk_nodes(entities(spark, sf_dir), 400), "chunks")
     vectors = chunks.select("chunk_id", F.array(F.length("content").cast("double")).alias("vector"))
-    fresh = T.vector_points(chunks, vectors, max_content=5000).select("chunk_id", "repo", "content", "vector", F.size("metadata").alias("keys"))
+    fresh = T.vector_points(chunks, vectors).select("chunk_id", "repo", "content", "vector", F.size("metadata").alias("keys"))
     stored = T.upsert_vectors(fresh.filter("repo = 'src1'").withColumn("content", F.lit("stale")), fresh)
     return stored.select("chunk_id", "repo", F.length("content").alias("n"), F.get("vector", F.lit(0)).alias("v"), "keys")
 
@@ -244,7 +244,7 @@ ORACLES = {
         SELECT * FROM n UNION ALL SELECT r_name, 'old', 'java', r_regionkey FROM region WHERE r_name NOT IN (SELECT name FROM n)""",
     "upsert_nodes": graph_sql(""", o AS (SELECT repo, node_type, file_path, name, start_line FROM nodes WHERE node_type = 'Component'),
         p AS (SELECT DISTINCT 'front' AS repo, 'Component' AS node_type, p_brand AS file_path, p_name AS name, p_size AS start_line FROM part)
-        SELECT *, CASE WHEN start_line % 2 = 1 THEN least(2000, 300 * length(name)) ELSE 3 END AS docstring FROM o UNION ALL SELECT *, 0 FROM p"""),
+        SELECT *, CASE WHEN start_line % 2 = 1 THEN 300 * length(name) ELSE 3 END AS docstring FROM o UNION ALL SELECT *, 0 FROM p"""),
     "containment_edges": f"""WITH f AS (SELECT {_TSP} || '/page.tsx' AS path, {_TSP} AS dir, '/' || lower(p_type) || '/:id/p' || p_partkey AS route FROM part)
         SELECT 'front' AS src, 'CONTAINS' AS rel_type, 'front:' || path AS dst FROM f UNION ALL SELECT 'front:' || path, 'CONTAINS', path || ':Route:' || route || ':1' FROM f
         UNION ALL SELECT 'front:Module:' || dir, 'CONTAINS', 'front:' || path FROM f""",
@@ -255,7 +255,7 @@ ORACLES = {
     "safe_props": """SELECT o_orderkey, '{"o_orderstatus":"' || o_orderstatus || '","tags":"[\\"' || o_orderstatus || '\\",\\"' || o_orderpriority || '\\"]"' || CASE WHEN o_orderstatus = 'F' THEN ',"cust":"' || o_custkey || '"' ELSE '' END || '}' AS props FROM orders""",
     "layout_round_trip": graph_sql("SELECT repo, node_type, count(*) AS n, min(name) AS first FROM nodes WHERE repo <> 'back' GROUP BY repo, node_type"),
     "vector_points": node_sql(400) + ", " + parent_sql(400) + """, a AS (SELECT p.id || ':' || idx AS chunk_id, source AS repo, p.content FROM pieces p JOIN t USING (id) UNION ALL SELECT id || ':parent', source, content FROM s)
-        SELECT chunk_id, repo, least(length(content), 5000) AS n, length(content)::DOUBLE AS v, CASE WHEN chunk_id LIKE '%:parent' THEN 3 ELSE 2 END AS keys FROM a""",
+        SELECT chunk_id, repo, length(content) AS n, length(content)::DOUBLE AS v, CASE WHEN chunk_id LIKE '%:parent' THEN 3 ELSE 2 END AS keys FROM a""",
     "audit_round_trip": _DEN + " SELECT 'RATE_LIMIT_EXCEEDED' AS event_type, 'Rate limit exceeded for ' || resource AS error, count(*) AS n, 0 AS with_repo FROM d GROUP BY resource",
     "stream_audit": _DEN + """ SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS timestamp, CAST(user_id AS VARCHAR) AS session_id, 'RATE_LIMIT_EXCEEDED' AS event_type, 'Rate limit exceeded for ' || resource AS error FROM d""",
     "stream_limits": """WITH RECURSIVE lim(resource, lim) AS (VALUES ('click', 10), ('view', 8)),

@@ -40,10 +40,6 @@ def change_summary(counted: DataFrame) -> DataFrame:
         F.sum("lines_added").alias("lines_added"), F.sum("lines_removed").alias("lines_removed"))
 
 
-def changes_of(changes: DataFrame, repo: str | None = None) -> DataFrame:
-    return changes if repo is None else changes.filter(F.col("repo") == repo)
-
-
 def repos_with_changes(changes: DataFrame) -> DataFrame:
     return changes.groupBy("repo").agg(F.count("*").alias("changes"))
 

@@ -44,7 +44,7 @@ def limit_counts(events: DataFrame, limits: dict[str, int] | None = None) -> Dat
     return passed.unionByName(denied)
 
 
-def trailing_counts(events: DataFrame, seconds: int = 3600, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def trailing_counts(events: DataFrame, seconds: int = 3600, max_rows: int = MAX_GROUP_ROWS, blocks: int | None = None) -> DataFrame:
     """Events of the session in the trailing window, the event itself included; strict lower bound.
 
     Every event enters at its time and leaves ``seconds`` later: one running sum over both, no range window.
@@ -52,13 +52,13 @@ def trailing_counts(events: DataFrame, seconds: int = 3600, max_rows: int = MAX_
     at = with_micros(events)
     enter = at.select("session_id", "at", F.lit(1).alias("kind"), "event_id", F.lit(1).alias("d"))
     leave = at.select("session_id", (F.col("at") + seconds * 1_000_000).alias("at"), F.lit(0).alias("kind"), "event_id", F.lit(-1).alias("d"))
-    summed = running_totals(enter.unionAll(leave), ["session_id"], ["at", "kind", "event_id"], {"recent": F.col("d")}, max_rows)
+    summed = running_totals(enter.unionAll(leave), ["session_id"], ["at", "kind", "event_id"], {"recent": F.col("d")}, max_rows, blocks)
     return summed.filter("kind = 1").select("session_id", "event_id", "at", "recent")
 
 
-def limit_builds(events: DataFrame, limit: int = R.BUILDS_PER_HOUR, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def limit_builds(events: DataFrame, limit: int = R.BUILDS_PER_HOUR, max_rows: int = MAX_GROUP_ROWS, blocks: int | None = None) -> DataFrame:
     """``events``: session_id, ts, event_id. Only recorded builds count, at most the last 100 are remembered."""
-    recent = durable(trailing_counts(events, 3600, max_rows), "recent")
+    recent = durable(trailing_counts(events, 3600, max_rows, blocks), "recent")
     busy = durable(
         recent.groupBy("session_id").agg(F.max("recent").alias("m")).filter((F.col("m") > limit) | (F.lit(limit) > R.REMEMBERED_BUILDS)), "busy")
     calm = recent.join(busy.select("session_id"), "session_id", "left_anti").select(
@@ -78,16 +78,16 @@ def limit_builds(events: DataFrame, limit: int = R.BUILDS_PER_HOUR, max_rows: in
         return {"allowed": allowed, "current": current}, state
 
     added = [T.StructField("allowed", T.BooleanType()), T.StructField("current", T.LongType())]
-    return calm.unionByName(ordered_fold(tight, ["session_id"], ["at", "event_id"], fold, [], added, max_rows))
+    return calm.unionByName(ordered_fold(tight, ["session_id"], ["at", "event_id"], fold, [], added, max_rows, blocks))
 
 
-def limit_tokens(events: DataFrame, limit: int = R.TOKENS_PER_SESSION, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def limit_tokens(events: DataFrame, limit: int = R.TOKENS_PER_SESSION, max_rows: int = MAX_GROUP_ROWS, blocks: int | None = None) -> DataFrame:
     """``events``: session_id, ts, event_id, tokens. Denied requests add nothing; a later smaller one may pass."""
     base = with_micros(events).select("session_id", "event_id", "at", F.col("tokens").cast("bigint").alias("tokens"))
     # few sessions go over: their known size lets Spark pick them by broadcast, without a shuffle of the log
     over = durable(base.groupBy("session_id").agg(F.sum("tokens").alias("t")).filter(F.col("t") > limit).select("session_id"), "over")
     within = running_totals(base.join(over, "session_id", "left_anti"), ["session_id"], ["at", "event_id"],
-                            {"projected": F.col("tokens")}, max_rows)
+                            {"projected": F.col("tokens")}, max_rows, blocks)
     easy = within.select("session_id", "event_id", "at", "tokens", F.lit(True).alias("allowed"), "projected")
 
     def fold(rows: pd.DataFrame, state: list[int]):
@@ -101,7 +101,7 @@ def limit_tokens(events: DataFrame, limit: int = R.TOKENS_PER_SESSION, max_rows:
         return {"allowed": allowed, "projected": projected}, [total]
 
     added = [T.StructField("allowed", T.BooleanType()), T.StructField("projected", T.LongType())]
-    return easy.unionByName(ordered_fold(base.join(over, "session_id", "left_semi"), ["session_id"], ["at", "event_id"], fold, [0], added, max_rows))
+    return easy.unionByName(ordered_fold(base.join(over, "session_id", "left_semi"), ["session_id"], ["at", "event_id"], fold, [0], added, max_rows, blocks))
 
 
 def usage_summary(used: DataFrame, limits: dict[str, int]) -> DataFrame:

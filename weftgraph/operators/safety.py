@@ -153,6 +153,3 @@ def check_authors(commits: DataFrame, email: str = "author_email", org: str | No
     ok = reduce(lambda a, b: a | b, [F.lower(F.col(email)).contains(p) for p in allowed])
     return commits.withColumn("allowed", ok)
 
-
-def path_columns(df: DataFrame, path: str) -> DataFrame:
-    return df.withColumns({"dir": dir_name(F.col(path)), "base": file_name(F.col(path))})

@@ -59,10 +59,10 @@ def group_shape(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     return int(row["n"] or 0), int(row["m"] or 0)
 
 
-def range_blocks(df: DataFrame, keys: list[str], order: list[str], rows: int, max_rows: int) -> DataFrame:
-    """Split by (keys, order) ranges so that a hot key spans several blocks; ``_block`` follows the order."""
+def range_blocks(df: DataFrame, keys: list[str], order: list[str], rows: int, max_rows: int, blocks: int | None = None) -> DataFrame:
+    """Split by (keys, order) ranges so that a hot key spans several blocks; ``_block`` follows the order. ``blocks`` overrides their number."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(parts, -(-2 * rows // max_rows)) if max_rows >= 1000 else parts  # tiny bounds only force the path in tests
+    n = blocks or max(parts, -(-2 * rows // max_rows))
     ranged = df.repartitionByRange(n, *keys, *order).withColumn("_block", F.spark_partition_id())
     return durable(ranged, "blocks")
 
@@ -73,6 +73,7 @@ def running_totals(
     order: list[str],
     totals: dict[str, Column],
     max_rows: int = MAX_GROUP_ROWS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums per key in ``order`` (a unique order).
 
@@ -85,14 +86,14 @@ def running_totals(
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         sums = {name: F.sum(f"_v_{name}").over(w) for name in totals}
         return marked.withColumns(sums).drop(*[f"_v_{name}" for name in totals])
-    blocks = range_blocks(marked, keys, order, rows, max_rows)
-    part = blocks.groupBy(*keys, "_block").agg(*[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in totals])
+    ranged = range_blocks(marked, keys, order, rows, max_rows, blocks)
+    part = ranged.groupBy(*keys, "_block").agg(*[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in totals])
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = part.select(
         *keys, "_block", *[F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in totals]
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = blocks.join(offsets, [*keys, "_block"])
+    joined = ranged.join(offsets, [*keys, "_block"])
     sums = {name: F.sum(f"_v_{name}").over(inside) + F.col(f"_o_{name}") for name in totals}
     scratch = [f"{p}{name}" for name in totals for p in ("_v_", "_o_")]
     return joined.withColumns(sums).drop("_block", *scratch)
@@ -110,6 +111,7 @@ def ordered_fold(
     init: list[int],
     added: list[T.StructField],
     max_rows: int = MAX_GROUP_ROWS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Order-dependent fold with feedback per key.
 
@@ -144,9 +146,9 @@ def ordered_fold(
         hashed = df.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(n)))
         return hashed.groupBy("_block").applyInPandas(lambda pdf: run(pdf, None)[0][names], out_schema)
 
-    blocks = range_blocks(df, keys, order, rows, max_rows)
+    ranged = range_blocks(df, keys, order, rows, max_rows, blocks)
     # a block boundary cuts at most one key, so fewer keys than blocks ever need a state passed on
-    spans = blocks.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    spans = ranged.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
     per_key = Window.partitionBy(*keys)
     cut = durable(
         spans.withColumn("_spread", F.count("*").over(per_key)).filter("_spread > 1")
@@ -168,7 +170,7 @@ def ordered_fold(
     pending = cut
     while not pending.isEmpty():
         fresh = durable(
-            blocks.join(pending, [*keys, "_block"]).groupBy(*keys, "_block").applyInPandas(state_only, state_schema),
+            ranged.join(pending, [*keys, "_block"]).groupBy(*keys, "_block").applyInPandas(state_only, state_schema),
             "fold",
         )
         outs = fresh if outs is None else durable(
@@ -187,7 +189,7 @@ def ordered_fold(
         head = ordered["_state"].iloc[0]
         return run(ordered.drop(columns=["_state"]), None if head is None else list(head))[0][names]
 
-    return blocks.join(cut, [*keys, "_block"], "left").groupBy("_block").applyInPandas(emit, out_schema)
+    return ranged.join(cut, [*keys, "_block"], "left").groupBy("_block").applyInPandas(emit, out_schema)
 
 
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
