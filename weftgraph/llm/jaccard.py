@@ -8,9 +8,9 @@
    needs are discarded, as are pairs with fewer than SHARED products; what is left is compared with whole sets. A signature holds the
    parities of the set's n-grams in 512 buckets: two sets differ in at least as many n-grams as their signatures in bits. Where sets are
    small enough for that to decide (``SIGNED`` n-grams), a pair is not taken again in a column whose predecessor both sets share.
-4. First each column is multiplied with its smallest set alone. What that links is one component, so that afterwards only
-   products between different components are needed: a group of copies costs its length, not its square, and no link that joins
-   two components is lost.
+4. First each column is multiplied with its smallest set alone, then every set with the one nearest to it by signature. What that links is one
+   component, so that afterwards only products between different components are needed: a group of copies costs its length, not its
+   square, and no link that joins two components is lost.
 
 Only a bounded table reaches the driver: the n-grams of many classes, ``MAX_HEAVY`` at most (the bar is raised until they fit). It decides the
 order and so the cost, never the result.
@@ -244,48 +244,88 @@ def _placed(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-def _between(percent: int):
+#: Rows of a column up to which all columns of a batch are multiplied at once, place by place.
+SMALL = 256
+#: Cells of one step in a larger column.
+CELLS = 1 << 18
+
+
+def _between(percent: int, nearest: bool):
     """Products between different components of a column as (a, b, w); input is sorted by (g, comp).
 
     Pairs of signed sets weigh as many products as are asked for, and come once for each run of n-grams that are neighbours in both sets'
-    orders: were the predecessor shared too, the pair would be in its column. Other pairs come once per product.
+    orders: were the predecessor shared too, the pair would be in its column. Other pairs come once per product. With ``nearest`` every signed set
+    offers only its nearest one by signature, so that a column gives no more pairs than it has rows.
     """
     enough = shared(percent)
 
-    def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        comps = rows["comp"]
-        opens = np.flatnonzero(np.append(True, (comps[1:] != comps[:-1]).any(1)))
-        stops = np.append(opens[1:], len(rows))
-        n, pos, cap = (rows[c].astype(np.int64) for c in ("n", "pos", "cap"))
-        prev, sig = np.where(pos > 0, rows["prev"], 0), np.ascontiguousarray(rows["sig"])
-        first, signed = pos == 0, n <= SIGNED
-        held, size = [], 0
-        for a, b in zip(opens.tolist(), stops.tolist(), strict=True):
-            step = max(1, (1 << 18) // max(1, len(rows) - b))
-            for at in range(a, b, step):
-                i, j = np.arange(at, min(b, at + step))[:, None], np.arange(b, len(rows))[None, :]
-                short = signed[i] & signed[j]
-                again = short & (prev[i] == prev[j]) & ~first[i] & ~first[j]
-                x, y = np.nonzero(_may_link(n[i], cap[i], pos[i], n[j], cap[j], pos[j], percent) & ~again)
-                x, y = x + at, y + b
-                apart = np.bitwise_count(sig[x] ^ sig[y]).sum(1, dtype=np.int64)
-                near = (100 + percent) * (n[x] + n[y] - apart) >= 2 * percent * (n[x] + n[y])
-                x, y = x[near], y[near]
-                held.append((x, y))
-                size += len(x)
-                if size > 1 << 18:
-                    yield pack(rows, signed, held)
-                    held, size = [], 0
-        if size:
-            yield pack(rows, signed, held)
-
-    def pack(rows: np.ndarray, signed: np.ndarray, held: list) -> pa.RecordBatch:
-        x, y = (np.concatenate([pair[k] for pair in held]) for k in (0, 1))
-        a, b = rows["cls"][x], rows["cls"][y]
-        swap = np.array([x > y for x, y in zip(a.view("V16")[:, 0].tolist(), b.view("V16")[:, 0].tolist(), strict=True)])  # as bytes, as Spark
-        a[swap], b[swap] = b[swap], a[swap].copy()
-        weight = np.where(signed[x] & signed[y], enough, 1)
-        return pa.RecordBatch.from_arrays([_digests(a), _digests(b), pa.array(weight, pa.int64())], names=["a", "b", "w"])
+    class Product:
+        def __init__(self, rows: np.ndarray) -> None:
+            self.rows, self.comp = rows, rows["comp"]
+            self.n, self.pos, self.cap = (rows[c].astype(np.int64) for c in ("n", "pos", "cap"))
+            self.prev, self.first, self.signed = rows["prev"], rows["pos"] == 0, rows["n"] <= SIGNED
+            self.sig = np.ascontiguousarray(rows["sig"])
+            self.best, self.partner = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), -1)
+
+        def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The pairs that may link, and the bits in which their signatures differ."""
+            n, pos, cap = self.n, self.pos, self.cap
+            short = self.signed[i] & self.signed[j]
+            keep = (self.comp[i] != self.comp[j]).any(1) & ~(short & (self.prev[i] == self.prev[j]) & ~self.first[i] & ~self.first[j])
+            if nearest:
+                keep &= short
+            i, j = i[keep], j[keep]
+            keep = _may_link(n[i], cap[i], pos[i], n[j], cap[j], pos[j], percent)
+            i, j = i[keep], j[keep]
+            apart = np.bitwise_count(self.sig[i] ^ self.sig[j]).sum(1, dtype=np.int64)
+            keep = (100 + percent) * (n[i] + n[j] - apart) >= 2 * percent * (n[i] + n[j])
+            return i[keep], j[keep], apart[keep]
+
+        def offer(self, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> None:
+            order = np.argsort(apart, kind="stable")
+            for mine, theirs in ((i, j), (j, i)):
+                row, at = np.unique(mine[order], return_index=True)
+                better = apart[order][at] < self.best[row]
+                row, at = row[better], order[at[better]]
+                self.best[row], self.partner[row] = apart[at], theirs[at]
+
+        def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            edges = np.flatnonzero(np.append(True, self.rows["g"][1:] != self.rows["g"][:-1]))
+            sizes = np.diff(np.append(edges, len(self.rows)))
+            after = np.repeat(edges + sizes, sizes) - np.arange(len(self.rows)) - 1  # rows of the column that follow
+            after[np.repeat(sizes > SMALL, sizes)] = 0
+            left, step = np.flatnonzero(after > 0), 1
+            while len(left):
+                for at in range(0, len(left), CELLS):
+                    yield left[at:at + CELLS], left[at:at + CELLS] + step
+                step += 1
+                left = left[after[left] >= step]
+            for start, size in zip(edges[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+                stop, block = start + size, max(1, CELLS // size)
+                for at in range(start, stop, block):
+                    i, j = np.meshgrid(np.arange(at, min(stop, at + block)), np.arange(at + 1, stop), indexing="ij")
+                    later = i < j
+                    yield i[later], j[later]
+
+        def emit(self) -> Iterator[pa.RecordBatch]:
+            for i, j in self.pairs():
+                i, j, apart = self.near(i, j)
+                if nearest:
+                    self.offer(i, j, apart)
+                elif len(i):
+                    yield self.pack(i, j)
+            if nearest:
+                i = np.flatnonzero(self.partner >= 0)
+                if len(i):
+                    yield self.pack(i, self.partner[i])
+
+        def pack(self, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            a, b = self.rows["cls"][i], self.rows["cls"][j]
+            x, y = a.byteswap(), b.byteswap()  # compared as bytes, as Spark does
+            swap = (x[:, 0] > y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] > y[:, 1]))
+            a[swap], b[swap] = b[swap], a[swap].copy()
+            weight = np.where(self.signed[i] & self.signed[j], enough, 1)
+            return pa.RecordBatch.from_arrays([_digests(a), _digests(b), pa.array(weight, pa.int64())], names=["a", "b", "w"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty(0, _PLACED)
@@ -293,13 +333,12 @@ def _between(percent: int):
             rows = np.concatenate([held, _placed(batch)])
             if len(rows) == 0:
                 continue
-            edges = np.flatnonzero(rows["g"][1:] != rows["g"][:-1]) + 1
-            bounds = [0, *edges.tolist()]
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                yield from emit(rows[a:b])
-            held = rows[bounds[-1]:].copy()
+            whole = len(rows) - int(np.argmax((rows["g"] != rows["g"][-1])[::-1])) if rows["g"][0] != rows["g"][-1] else 0
+            if whole:
+                yield from Product(rows[:whole]).emit()
+            held = rows[whole:].copy()
         if len(held):
-            yield from emit(held)
+            yield from Product(held).emit()
 
     return run
 
@@ -335,6 +374,19 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
     return durable(overlap.filter(100 * F.col("_o") >= percent * (F.col("_m") + F.col("_n") - F.col("_o"))).select("a", "b"), "links")
 
 
+def _products(ranked: DataFrame, roots: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(a, b) of different components with enough products; only columns of several components are multiplied."""
+    named = roots.withColumnRenamed("node", "cls")
+    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    signed = classes.filter("sig IS NOT NULL").select("cls", "sig")
+    placed = ranked.join(named, "cls", "left").join(signed, "cls").select("g", "cls", "n", "pos", "cap", "prev", F.coalesce("root", "cls").alias("comp"), "sig")
+    column = Window.partitionBy("g")  # one shuffle serves the filter and the product
+    mixed = placed.withColumns({"_a": F.min("comp").over(column), "_b": F.max("comp").over(column)}).filter("_a <> _b")
+    rest = mixed.select("g", "cls", "n", "pos", "cap", "prev", "comp", "sig").sortWithinPartitions("g", "comp", "n", "cls")
+    pairs = rest.mapInArrow(_between(percent, nearest), "a binary, b binary, w bigint").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    return pairs.filter(F.col("w") >= shared(percent)).select("a", "b")
+
+
 def similar_documents(
     docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text",
     heavy_from: int = HEAVY_FROM, max_heavy: int = MAX_HEAVY,
@@ -343,8 +395,26 @@ def similar_documents(
 
     ``component_id`` is the smallest id reachable by links. Texts without words, null ones too, link with nothing and are their own
     component. A text of fewer than ``k`` words is one n-gram. Repeated rows and ids give a row each; null ids take part but are never the
-    smallest. Other columns are not read. Ties need no rule: the smallest id is unique.
+    smallest. Other columns are not read. Ties need no rule: the smallest id is unique. Very long texts are read whole.
     """
+    members, classes, roots = _joined(docs, k, percent, id_column, text_column, heavy_from, max_heavy)
+    of_root = roots.withColumnRenamed("node", "cls").join(classes, "cls")
+    of_root = of_root.join(of_root.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "component_id")
+    placed = durable(
+        classes.join(of_root, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id")), "placed")
+    out = members.select("_id", "n", "cls").join(placed, "cls", "left")
+    return out.select(F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def similar_classes(docs: DataFrame, k: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """(_id, ``n_shingles``, ``component``) per row: a component is named by one of its classes of equal n-gram sets, null without words."""
+    members, _, roots = _joined(docs, k, percent, id_column, text_column, HEAVY_FROM, MAX_HEAVY)
+    out = members.select("_id", F.col("n").alias("n_shingles"), "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    return out.select("_id", "n_shingles", F.coalesce("root", "cls").alias("component"))
+
+
+def _joined(docs: DataFrame, k: int, percent: int, id_column: str, text_column: str, heavy_from: int, max_heavy: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their class (_id, n, cls), classes with their smallest id (cls, rep), and the component (node, root) of every class that links."""
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     members = durable(_members(rows, k, percent), "members")
     classes = durable(members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("_id").alias("rep"), F.max("sig").alias("sig")), "classes")
@@ -367,46 +437,35 @@ def similar_documents(
     stars = durable(stars.select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b")).distinct(), "stars")
     links = _links(stars, rows, classes, k, percent)
     roots = durable(components(links), "roots")
+    tried = stars
+    for nearest in (True, False):  # first each set's nearest ones, then all that are left between what these have joined
+        pairs = _products(ranked, roots, classes, percent, nearest)
+        pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = durable(links.unionByName(_links(pairs, rows, classes, k, percent)), "links")
+        tried = durable(tried.unionByName(pairs), "tried") if nearest else tried
+        roots = durable(components(links), "roots")
 
-    named = roots.withColumnRenamed("node", "cls")
-    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
-    signed = classes.filter("sig IS NOT NULL").select("cls", "sig")
-    placed = ranked.join(named, "cls", "left").join(signed, "cls").select("g", "cls", "n", "pos", "cap", "prev", F.coalesce("root", "cls").alias("comp"), "sig")
-    column = Window.partitionBy("g")  # one shuffle serves the filter and the product
-    mixed = placed.withColumns({"_a": F.min("comp").over(column), "_b": F.max("comp").over(column)}).filter("_a <> _b")
-    rest = mixed.select("g", "cls", "n", "pos", "cap", "prev", "comp", "sig").sortWithinPartitions("g", "comp", "n", "cls")
-    pairs = rest.mapInArrow(_between(percent), "a binary, b binary, w bigint").groupBy("a", "b").agg(F.sum("w").alias("w"))
-    pairs = pairs.filter(F.col("w") >= shared(percent)).select("a", "b")
-    pairs = durable(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    links = durable(links.unionByName(_links(pairs, rows, classes, k, percent)), "links")
-    roots = durable(components(links), "roots")
-
-    of_root = roots.withColumnRenamed("node", "cls").join(classes, "cls")
-    of_root = of_root.join(of_root.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "component_id")
-    placed = durable(
-        classes.join(of_root, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id")), "placed")
-    out = members.select("_id", "n", "cls").join(placed, "cls", "left")
-    return out.select(F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return members, classes, roots
 
 
 def without_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the smallest of their component, one row each, with their own columns.
+    """One row of each component, with its own columns: the smallest id's; of several such rows the first by all columns as text.
 
-    Rows without an id are kept. Of several rows with the id that stays, the first by all columns as text is kept. Only the ids that go
-    are joined: broadcast while they are few, else shuffled.
+    Decided by rows, not by ids: rows of one id whose texts do not link stay apart. Rows without words are kept, but for repeated ones of equal id and text.
+    A component whose ids are all null keeps the row that is first as text. Copies are compared within their component: what is carried there is a row's
+    number, id and a digest, not its text. Empty tables stay empty; other columns may be null and have any name.
     """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
-    found = durable(similar_documents(plain, k, percent, key, text), "similar")
-    stays = found.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_id")).count()
-    goes = durable(found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_id")).distinct().join(stays, "_id", "left_anti"), "goes")
-    repeated = durable(stays.filter("count > 1").select("_id"), "repeated")
-    side = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    left = plain.join(side(goes), F.col(key) == F.col("_id"), "left_anti")
-    if not repeated.isEmpty():
-        chosen = side(repeated)
-        twice = left.join(chosen, F.col(key) == F.col("_id"), "left_semi")
-        best = twice.groupBy(F.col(key).alias("_id")).agg(F.min(F.to_json(F.struct(*plain.columns))).alias("_first"), F.min_by(F.struct(*plain.columns), F.to_json(F.struct(*plain.columns))).alias("_row"))
-        left = left.join(chosen, F.col(key) == F.col("_id"), "left_anti").unionByName(best.select("_row.*"))
-    return left.toDF(*names)
+    # the rows' own digest tells equal rows apart from others of the same id; equal rows are one row
+    digest = F.xxhash64(F.to_json(F.struct(*plain.columns))), F.md5(F.to_json(F.struct(*plain.columns)))
+    marked = durable(plain.withColumns({"_row": digest[1], "_order": digest[0]}).dropDuplicates(["_row"]), "rows")
+    found = similar_classes(marked, k, percent, "_row", text).select(F.col("_id").alias("_row"), "component")
+    joined = marked.select("_row", key, "_order", F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_text")).join(found, "_row")
+    alone = F.concat_ws(":", F.lit("empty"), F.coalesce(F.col(key).cast("string"), F.lit("null")), "_text")
+    group = F.coalesce(F.hex("component"), alone)
+    first = F.struct(F.col(key).isNull(), key, "_order", "_row")
+    best = durable(joined.groupBy(group.alias("_group")).agg(F.min_by("_row", first).alias("_row")).select("_row"), "best")
+    side = F.broadcast(best) if best.count() <= BROADCAST_ROWS else best
+    return marked.join(side, "_row", "left_semi").select(*plain.columns).toDF(*names)
