@@ -1,11 +1,13 @@
 """Matching calls to endpoint templates, wildcard edge resolution and line-range lookups.
 
-Every join is an equi join. Template matching goes through masked keys, so a hot (method, segment count) group
-never meets itself pairwise.
+Every join is an equi join. Call paths walk a trie of the endpoint templates, so a hot (method, segment count) group never meets itself
+pairwise.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,57 +31,62 @@ def _endpoint_templates(endpoints: DataFrame) -> DataFrame:
     return keyed.groupBy("m", "p").agg(F.min("ordinal").alias("ordinal"), first.alias("be"))
 
 
-def _param_mask(segs: Column) -> Column:
-    bits = F.transform(segs, lambda s, i: F.when(s.startswith(":"), F.call_function("shiftleft", F.lit(1), i)).otherwise(0))
-    return F.aggregate(bits, F.lit(0), lambda acc, b: acc.bitwiseOR(b))
+#: Copies of each trie edge, so that the calls below a common prefix or a catch-all meet it in so many tasks.
+SALTS = 8
+#: Levels walked before the open paths are written out.
+LEVELS = 4
 
 
-def _bit(mask: Column, i: Column) -> Column:
-    return F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1
+def _is_param(segment: Column) -> Column:
+    return segment.startswith(":")
 
 
-def _subsets(mask: Column, n: Column) -> Column:
-    """All sub-masks of ``mask``."""
-    positions = F.filter(F.sequence(F.lit(0), n - 1), lambda i: _bit(mask, i))
-    return F.aggregate(
-        positions, F.array(F.lit(0)),
-        lambda acc, i: F.concat(acc, F.transform(acc, lambda a: a.bitwiseOR(F.call_function("shiftleft", F.lit(1), i)))),
-    )
+def _trie(templates: DataFrame, shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, leaves) of the template trie, once for every shape of calls (which of their segments are parameters) of the same method and length.
 
+    Where a call has a segment, a template's parameter is the label ``:``, whatever its name; where a call has a parameter, a template's segment is
+    ``*``, and only a parameter keeps its name. So a node has two edges that fit a segment at most, and few that fit a parameter.
+    """
+    open_ = F.col("open")
+    label = F.transform("segs", lambda s, i: F.when(F.get(open_, i), F.when(_is_param(s), s).otherwise("*")).otherwise(F.when(_is_param(s), ":").otherwise(s)))
+    leaves = templates.join(shapes, ["m", "n"]).groupBy("m", "n", "open", label.alias("labels")).agg(F.min("ordinal").alias("ordinal"))
+    leaves = durable(leaves.withColumn("node", F.array_join("labels", "/")), "leaves")
 
-def _masked_key(segs: Column, mask_c: Column, mask_e: Column, same: Column) -> Column:
-    """Literal segments, a blank where one side is a parameter; parameter names only at the ``same`` positions."""
-    both, either = mask_c.bitwiseAND(mask_e), mask_c.bitwiseOR(mask_e)
-    parts = F.transform(
-        segs, lambda s, i: F.when(_bit(same, i) & _bit(both, i), s).when(_bit(either, i), F.lit("\u0000")).otherwise(s)
-    )
-    return F.array_join(parts, "/")
+    def edge(x: Column, i: Column) -> Column:
+        parent = F.array_join(F.slice("labels", F.lit(1), i), "/")
+        return F.struct(i.alias("level"), parent.alias("parent"), F.when(F.get(open_, i), "").otherwise(x).alias("key"), x.alias("label"),
+                        F.array_join(F.slice("labels", F.lit(1), i + 1), "/").alias("child"))
+
+    edges = leaves.select("m", "n", "open", F.explode(F.transform("labels", edge)).alias("e")).select("m", "n", "open", "e.*").distinct()
+    return durable(edges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "trie"), leaves
 
 
 def _pattern_matches(calls: DataFrame, templates: DataFrame, pick: str) -> DataFrame:
-    def shape(df: DataFrame, mask: str) -> DataFrame:
-        segs = df.withColumn("segs", segments(F.col("p"))).withColumn("n", F.size("segs"))
-        return durable(segs.withColumn(mask, _param_mask(F.col("segs"))), "shape")
-
-    left, right = shape(calls, "mask_c"), shape(templates.select("m", "p", "ordinal"), "mask_e")
-    # shapes are few (parameter positions per method and length); only their pairs are enumerated
-    shapes = left.select("m", "n", "mask_c").distinct().join(right.select("m", "n", "mask_e").distinct(), ["m", "n"])
-    same = F.explode(_subsets(F.col("mask_c").bitwiseAND(F.col("mask_e")), F.col("n"))).alias("same")
-
-    def keyed(df: DataFrame, mask: str, *extra: str) -> DataFrame:
-        spread = df.join(shapes, ["m", "n", mask]).select("m", "n", "p", "segs", "mask_c", "mask_e", *extra, same)
-        return spread.withColumn(
-            "key", _masked_key(F.col("segs"), F.col("mask_c"), F.col("mask_e"), F.col("same")))
-
-    on = ["m", "n", "mask_c", "mask_e", "same", "key"]
-    best_per_key = keyed(right, "mask_e", "ordinal").groupBy(*on).agg(F.min("ordinal").alias("ordinal"))
-    hits = keyed(left, "mask_c").join(best_per_key, on)
-    params = F.bit_count(F.col("mask_c").bitwiseOR(F.col("mask_e"))) - F.bit_count("same")
-    equal = F.col("n") - params
-    scored = hits.select("m", "p", "ordinal", (equal * 10 + params * 8).alias("points"))
+    """(m, p, ordinal) of the best template of each call path: all paths walk the trie together, one join per level."""
+    def shaped(df: DataFrame) -> DataFrame:
+        return df.withColumn("segs", segments(F.col("p"))).withColumn("n", F.size("segs"))
+
+    left = durable(shaped(calls).withColumn("open", F.transform("segs", _is_param)), "paths")
+    edges, leaves = _trie(shaped(templates.select("m", "p", "ordinal")), left.select("m", "n", "open").distinct())
+    salt = F.pmod(F.xxhash64("p"), F.lit(SALTS)).cast("int")
+    front = left.select("m", "n", "open", "p", "segs", salt.alias("salt"), F.lit("").alias("parent"), F.lit(0).alias("points"))
+    depth = left.agg(F.max("n")).first()[0] or 0
+    ends = []
+    for level in range(depth):
+        segment = F.get("segs", F.lit(level))
+        keys = F.when(F.get("open", F.lit(level)), F.array(F.lit(""))).otherwise(F.array(segment, F.lit(":")))
+        found = front.withColumn("key", F.explode(keys)).join(edges.filter(F.col("level") == level).drop("level"), ["m", "n", "open", "parent", "key", "salt"])
+        points = F.col("points") + F.when(F.col("label") == segment, 10).otherwise(8)
+        front = found.select("m", "n", "open", "p", "segs", "salt", F.col("child").alias("parent"), points.alias("points"))
+        if level % LEVELS == LEVELS - 1:
+            front = durable(front, "front")
+        ends.append(front.filter(F.col("n") == level + 1).select("m", "n", "open", "p", F.col("parent").alias("node"), "points"))
+        front = front.filter(F.col("n") > level + 1)
+    if not ends:
+        return left.select("m", "p", F.lit(None).cast(templates.schema["ordinal"].dataType).alias("ordinal")).limit(0)
+    hits = reduce(DataFrame.unionByName, ends).join(leaves.select("m", "n", "open", "node", "ordinal"), ["m", "n", "open", "node"])
     order = (-F.col("points"), F.col("ordinal")) if pick == "best" else (F.col("ordinal"),)
-    chosen = scored.groupBy("m", "p").agg(F.min_by("ordinal", F.struct(*order)).alias("ordinal"))
-    return chosen
+    return hits.groupBy("m", "p").agg(F.min_by("ordinal", F.struct(*order)).alias("ordinal"))
 
 
 def _call_key() -> list[Column]:
