@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at 0.8 or more over five-word shingles: the one with the smallest id."""
+    """One row of each group at 0.8 or more over five-word shingles: the one with the smallest id."""
     return jaccard.without_copies(docs, k=5, percent=80)
 
 
@@ -55,7 +55,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-#: SQL can express neither the join's components nor the trained models; tests compare with a brute-force version.
+#: SQL can express neither the trained secret model nor the encoder; tests compare the first three stages with plain versions, and the last with its round trip.
 ORACLE_SQL = None
 
 

@@ -160,6 +160,23 @@ def stream_audit(spark, sf_dir):
     return spark.read.parquet(out).select("timestamp", "session_id", "event_type", "error")
 
 
+def audit_accounts(spark, sf_dir):
+    """The denial log twice, with broken, timeless and late lines, through the accounted stream: lines per outcome."""
+    path, out, refused, mark = (new_path(spark, f"accounts-{x}") for x in ("in", "out", "refused", "mark"))
+    rows = _audit_rows(spark, sf_dir)
+    lines = rows.select(F.to_json(F.struct(*[c for c in rows.columns if c in A.AUDIT_SCHEMA.fieldNames()])).alias("value"), F.xxhash64("session_id", "timestamp", "error").alias("h"))
+    lines = durable(lines, "lines")
+    odd = table(spark, sf_dir, "nation").select(F.explode(F.array(
+        F.concat(F.lit("{broken "), "n_name"), F.concat(F.lit('{"session_id":"'), "n_nationkey", F.lit('","timestamp":"never"}')), F.col("n_name"))).alias("value"))
+    lines.select("value").unionByName(odd).coalesce(1).write.text(f"{path}/0")
+    late = table(spark, sf_dir, "nation").select(F.concat(F.lit('{"timestamp":"1901-01-01T00:00:00.000000+00:00","session_id":"'), "n_nationkey", F.lit('"}')).alias("value"))
+    lines.select("value").unionByName(late).coalesce(1).write.text(f"{path}/1")
+    SA.write_accounted(spark, f"{path}/*", out, refused, mark, "20000 days", files_per_batch=1).awaitTermination()
+    SA.write_accounted(spark, f"{path}/*", out, refused, mark, "20000 days").awaitTermination()  # nothing is left to do
+    events = spark.read.parquet(out).agg(F.lit("event").alias("outcome"), F.count("*").alias("n"))
+    return events.unionByName(spark.read.parquet(refused).groupBy(F.col("reason").alias("outcome")).agg(F.sum("n").alias("n")))
+
+
 def stream_limits(spark, sf_dir):
     """The event log through the stateful stream: counted resources, builds (errors) and token requests (purchases)."""
     schema = table(spark, sf_dir, "events").schema
@@ -221,7 +238,7 @@ def path_parts(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     path_selection, read_sources, read_errors, file_content, verify_files, upsert_repos, upsert_nodes, containment_edges, module_nodes,
-    upsert_edges, unique_violations, unique_nodes, safe_props, layout_round_trip, vector_points, audit_round_trip, stream_audit,
+    upsert_edges, unique_violations, unique_nodes, safe_props, layout_round_trip, vector_points, audit_round_trip, stream_audit, audit_accounts,
     stream_limits, ingest_summary, link_totals, validate, text_helpers, path_parts)}
 
 _RAWQ = """WITH r AS (SELECT source AS repo, 'src/d' || doc_id || CASE WHEN n_chars % 5 = 0 THEN '.txt' WHEN n_chars % 2 = 0 THEN '.ts' ELSE '.java' END AS path, text, n_chars % 4 = 1 AS bad, n_chars % 5 = 0 AS odd FROM documents)"""
@@ -258,6 +275,9 @@ ORACLES = {
         SELECT chunk_id, repo, length(content) AS n, length(content)::DOUBLE AS v, CASE WHEN chunk_id LIKE '%:parent' THEN 3 ELSE 2 END AS keys FROM a""",
     "audit_round_trip": _DEN + " SELECT 'RATE_LIMIT_EXCEEDED' AS event_type, 'Rate limit exceeded for ' || resource AS error, count(*) AS n, 0 AS with_repo FROM d GROUP BY resource",
     "stream_audit": _DEN + """ SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS timestamp, CAST(user_id AS VARCHAR) AS session_id, 'RATE_LIMIT_EXCEEDED' AS event_type, 'Rate limit exceeded for ' || resource AS error FROM d""",
+    "audit_accounts": _DEN + """, e AS (SELECT DISTINCT ts, user_id, resource FROM d) SELECT 'event' AS outcome, count(*) AS n FROM e
+        UNION ALL SELECT 'duplicate', 2 * (SELECT count(*) FROM d) - (SELECT count(*) FROM e) UNION ALL SELECT 'malformed', 2 * count(*) FROM nation
+        UNION ALL SELECT 'no time', count(*) FROM nation UNION ALL SELECT 'late', count(*) FROM nation""",
     "stream_limits": """WITH RECURSIVE lim(resource, lim) AS (VALUES ('click', 10), ('view', 8)),
         e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, ts, event_type, CAST(floor(value) AS BIGINT) AS tokens FROM events),
         c AS (SELECT session_id, event_id, event_type AS resource, row_number() OVER (PARTITION BY session_id, event_type ORDER BY ts, event_id) AS r, lim FROM e JOIN lim ON resource = event_type),
