@@ -19,7 +19,8 @@ MIN_WORDS = 50
 MAX_REPEATED = 50
 #: More symbols than this share of the words: mark-up or noise.
 MAX_SYMBOL_SHARE = 0.2
-HOST_LIMIT = 0.9
+#: A host fails when it is clear that most of its documents do.
+HOST_LIMIT = 0.5
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
