@@ -51,15 +51,21 @@ def guard(queries: DataFrame, query: str = "query", enabled: bool = True, classi
     names = ["verdict", "risk_category", "reasoning", "sanitized_query"]
     schema = T.StructType(queries.schema.fields + [T.StructField(n, T.StringType()) for n in names])
 
+    def verdicts(texts: list[str]) -> list[tuple]:
+        """One call for a batch; if that fails, one per text, so that only the texts that cannot be classified are blocked."""
+        try:
+            found = [tuple(x) for x in classify_fn(texts)]
+            if len(found) == len(texts):
+                return found
+            raise ValueError(f"{len(found)} verdicts for {len(texts)} texts")
+        except Exception as e:  # a failing classifier must block
+            if len(texts) > 1:
+                return [x for text in texts for x in verdicts([text])]
+            return [("blocked", "social_engineering", f"Classification failed: {str(e)[:100]}. Blocking for safety.", None)]
+
     def classify(batches):
         for pdf in batches:
-            out = []
-            for text in pdf[query]:
-                try:
-                    row = tuple(classify_fn([text])[0])
-                    out.append(row + (None,) * (4 - len(row)))
-                except Exception as e:  # a failing classifier must block
-                    out.append(("blocked", "social_engineering", f"Classification failed: {str(e)[:100]}. Blocking for safety.", None))
+            out = [row + (None,) * (4 - len(row)) for row in verdicts(pdf[query].tolist())] if len(pdf) else []
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=names, dtype=object)], axis=1)
 
     risky = has_risk_phrase(F.col(query))
