@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.components import components
@@ -449,23 +449,34 @@ def _joined(docs: DataFrame, k: int, percent: int, id_column: str, text_column:
 
 
 def without_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, with its own columns: the smallest id's; of several such rows the first by all columns as text.
+    """One row of each component, with its own columns: the smallest id's.
 
     Decided by rows, not by ids: rows of one id whose texts do not link stay apart. Rows without words are kept, but for repeated ones of equal id and text.
-    A component whose ids are all null keeps the row that is first as text. Copies are compared within their component: what is carried there is a row's
-    number, id and a digest, not its text. Empty tables stay empty; other columns may be null and have any name.
+    A component whose ids are all null keeps one row. Of several rows with the smallest id the first by digest stays. Texts do not move: only digests of
+    rows are shuffled, and the rows that are there more than once. Empty tables stay empty; other columns may be null and have any name.
     """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
-    # the rows' own digest tells equal rows apart from others of the same id; equal rows are one row
-    digest = F.xxhash64(F.to_json(F.struct(*plain.columns))), F.md5(F.to_json(F.struct(*plain.columns)))
-    marked = durable(plain.withColumns({"_row": digest[1], "_order": digest[0]}).dropDuplicates(["_row"]), "rows")
+    marked = plain.withColumn("_row", _row_digest(plain))
     found = similar_classes(marked, k, percent, "_row", text).select(F.col("_id").alias("_row"), "component")
-    joined = marked.select("_row", key, "_order", F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_text")).join(found, "_row")
+    brief = durable(marked.groupBy("_row").agg(F.first(key).alias(key), F.first(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_text"), F.count("*").alias("_n")), "rows")
+    joined = brief.join(found.distinct(), "_row")
     alone = F.concat_ws(":", F.lit("empty"), F.coalesce(F.col(key).cast("string"), F.lit("null")), "_text")
     group = F.coalesce(F.hex("component"), alone)
-    first = F.struct(F.col(key).isNull(), key, "_order", "_row")
-    best = durable(joined.groupBy(group.alias("_group")).agg(F.min_by("_row", first).alias("_row")).select("_row"), "best")
-    side = F.broadcast(best) if best.count() <= BROADCAST_ROWS else best
-    return marked.join(side, "_row", "left_semi").select(*plain.columns).toDF(*names)
+    first = F.struct(F.col(key).isNull(), key, "_row")
+    best = durable(joined.groupBy(group.alias("_group")).agg(F.min_by(F.struct("_row", "_n"), first).alias("_best")).select("_best.*"), "best")
+    side = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    equal = best.filter("_n > 1").select("_row")
+    out = durable(brief.select("_row").join(best.select("_row"), "_row", "left_anti").unionByName(equal), "out")
+    left = marked.join(side(out), "_row", "left_anti")
+    if not equal.isEmpty():  # only rows that are there more than once are dealt out to be told apart
+        left = left.unionByName(marked.join(side(equal), "_row", "left_semi").dropDuplicates(["_row"]))
+    return left.select(*plain.columns).toDF(*names)
+
+
+def _row_digest(rows: DataFrame) -> Column:
+    """128 bits of all columns; where nulls are counts too."""
+    columns = [F.to_json(c) if rows.schema[c].dataType.typeName() in ("map", "struct", "array", "variant") else F.col(c) for c in rows.columns]
+    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in rows.columns])
+    return F.concat_ws("-", F.hex(F.xxhash64(nulls, *columns)), F.hex(F.xxhash64(F.lit(1), nulls, *columns)))
