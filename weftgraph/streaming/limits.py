@@ -1,7 +1,7 @@
 """Rate limits on a stream: one state per session with counters, token total and recent builds.
 
-Events are decided in arrival order; inside one Arrow batch they are put in event-time order first. A session's rows
-arrive as a stream of batches and only the small state is kept, so its size does not matter for memory.
+Micro-batches are decided as they arrive; inside one, a session's events are put in time order first. Its events of the micro-batch are held in one
+task for that, so a micro-batch should be bounded (``maxFilesPerTrigger``); from batch to batch only the small state is kept.
 """
 
 from __future__ import annotations
