@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.operators.search import _best, _id_array, _matrix, _rows
+from weftgraph.operators.search import _id_array, _keep, _matrix, _parts
 from weftgraph.plans.scale import BROADCAST_BYTES, top_rows
 
 SAMPLE = 20_000
@@ -104,13 +104,9 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 20
             best: dict[int, tuple] = {}
             for pdf in batches:
                 for cell, part in pdf.groupby("cell", sort=False):
-                    scores = q[of_cell[int(cell)]] @ _matrix(part["vector"]).T
-                    names = np.broadcast_to(_id_array(part["vec_id"]), scores.shape)
-                    if cell in best:
-                        scores, names = np.concatenate([best[cell][0], scores], axis=1), np.concatenate([best[cell][1], names], axis=1)
-                    best[cell] = _best(scores, names, k)
+                    best[cell] = _keep(best.get(cell), q[of_cell[int(cell)]], _matrix(part["vector"]), _id_array(part["vec_id"]), k)
             for cell, (scores, names) in best.items():
-                yield _rows(ids[of_cell[int(cell)]], names, scores)
+                yield from _parts(ids[of_cell[int(cell)]], names, scores)
 
         pruned = stored.filter(F.col("cell").isin(*of_cell)).select("vec_id", "vector", "cell")
         found.append(pruned.mapInPandas(scan, schema))
