@@ -151,8 +151,12 @@ def _handlers(graph: Graph, functions_only: bool) -> DataFrame:
     return exposed.join(handler.select(F.col("node_id").alias("handler_id"), F.col("name").alias("handler")), "handler_id")
 
 
-def _consumers(graph: Graph) -> DataFrame:
+def _consumers(graph: Graph, ends: DataFrame | None = None) -> DataFrame:
+    """Consumers of all endpoints, or of ``ends(endpoint_id, ...)`` only: then just their edges meet the nodes."""
     used = graph.edges.filter("rel_type = 'CONSUMES'").select(F.col("dst").alias("endpoint_id"), F.col("src").alias("consumer_id"))
+    if ends is not None:
+        # written, so that Spark knows how few they are and need not move the edges
+        used = used.join(durable(ends, "ends"), "endpoint_id")
     return used.join(graph.nodes.select(F.col("node_id").alias("consumer_id"), F.col("name").alias("consumer"),
                                         F.col("repo").alias("consumer_repo")), "consumer_id")
 
@@ -193,7 +197,7 @@ def cross_repo_impact(graph: Graph, paths: list[str], depth: int = 2) -> DataFra
         F.explode(F.filter(wanted, lambda p: F.col("path").contains(p))).alias("request"), "endpoint_id")
     ends = found.select("endpoint_id").distinct()
     handlers = ends.join(_handlers(graph, True), "endpoint_id").select("endpoint_id", F.col("handler_id").alias("node"))
-    consumers = ends.join(_consumers(graph), "endpoint_id").select("endpoint_id", F.col("consumer_id").alias("node")).distinct()
+    consumers = _consumers(graph, ends).select("endpoint_id", F.col("consumer_id").alias("node")).distinct()
     callers = graph.edges.filter("rel_type = 'CALLS'").select(F.col("dst").alias("a"), F.col("src").alias("b"))
 
     def upstream(start: DataFrame, role: str) -> DataFrame:
@@ -322,7 +326,7 @@ def consumers_by_path(graph: Graph, texts: list[str]) -> DataFrame:
     wanted = F.array(*[F.lit(t) for t in texts])
     hit = _endpoints(graph).select("endpoint_id", F.explode(F.filter(
         wanted, lambda t: (F.col("endpoint_name") == t) | F.col("path").contains(t))).alias("request"))
-    return hit.join(_consumers(graph), "endpoint_id").select("request", "consumer_id", "consumer", "consumer_repo").distinct()
+    return _consumers(graph, hit).select("request", "consumer_id", "consumer", "consumer_repo").distinct()
 
 
 def impact_counts(rows: DataFrame) -> DataFrame:
