@@ -7,8 +7,9 @@ Results are rows, one per related node, so a hub never becomes one huge array.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.plans.scale import durable, top_rows
@@ -238,52 +239,61 @@ def shortest_path(graph: Graph, requests: DataFrame, max_depth: int = 5) -> Data
     """Shortest undirected path per (start, end) name pair, smallest node sequence on ties.
 
     Both ends expand in turn and meet in the middle, so a level never exceeds half the depth; each level keeps one
-    best path per node, and answered requests leave the frontiers.
+    best path per node, and answered requests leave the frontiers before a level is written.
     """
     ids = graph.nodes.select(F.col("node_id").alias("id"), F.col("name").alias("nm"))
     asked = requests.select("start", "end").distinct()
     # every node of the start name begins one side, every node of the end name the other: no pairs are formed
     starts = durable(asked.join(ids.select(F.col("id").alias("node"), F.col("nm").alias("start")), "start").select("start", "end", "node"), "starts")
     ends = durable(asked.join(ids.select(F.col("id").alias("node"), F.col("nm").alias("end")), "end").select("start", "end", "node"), "ends")
-    links = both_ways(graph.edges).filter("a <> b").groupBy("a", "b").agg(F.min("rel_type").alias("rel"))
+    links = both_ways(graph.edges).filter("a <> b")
     none = F.array().cast("array<string>")
     key = ["start", "end"]
 
     def begin(side: DataFrame) -> DataFrame:
         return side.select(*key, "node", F.struct(F.array("node").alias("ids"), none.alias("rels")).alias("way")).distinct()
 
-    def expand(level: DataFrame, seen: DataFrame, forward: bool, open_requests: DataFrame) -> DataFrame:
+    def step(level: DataFrame, forward: bool, open_requests: DataFrame) -> DataFrame:
+        """Ways one edge longer. Parallel edges stay; ``odd`` ranks an untyped one behind the typed ones where the smallest way is taken."""
         live = level.join(open_requests, key, "left_semi")
-        stepped = live.join(links, F.col("node") == F.col("a")).select(
+        return live.join(links, F.col("node") == F.col("a")).select(
             *key, F.col("b").alias("node"),
             F.struct(
                 (F.concat("way.ids", F.array("b")) if forward else F.concat(F.array("b"), "way.ids")).alias("ids"),
-                (F.concat("way.rels", F.array("rel")) if forward else F.concat(F.array("rel"), "way.rels")).alias("rels"),
+                F.col("rel_type").isNull().alias("odd"),
+                (F.concat("way.rels", F.array("rel_type")) if forward else F.concat(F.array("rel_type"), "way.rels")).alias("rels"),
             ).alias("way"))
-        best = stepped.groupBy(*key, "node").agg(F.min("way").alias("way"))
-        return durable(best.join(seen.select(*key, "node"), [*key, "node"], "left_anti"), "front")
 
-    fwd, bwd = begin(starts), begin(ends)
-    seen_f, seen_b = fwd, bwd
+    def joined(stepped: DataFrame, other: DataFrame, before: DataFrame, forward: bool) -> DataFrame:
+        """Whole ways of each request where the step reaches the other side's level at a node new to its own side."""
+        meet = stepped.withColumnRenamed("way", "s").join(other.select(*key, "node", F.col("way").alias("o")), [*key, "node"])
+        meet = meet.join(before, [*key, "node"], "left_anti")
+        f, g = ("s", "o") if forward else ("o", "s")
+        return meet.select(*key, F.struct(
+            F.concat(f"{f}.ids", F.slice(f"{g}.ids", F.lit(2), F.size(f"{g}.ids"))).alias("ids"), F.col("s.odd").alias("odd"),
+            F.concat(f"{f}.rels", f"{g}.rels").alias("rels")).alias("way"))
+
+    def plain(way: str) -> Column:
+        return F.struct(F.col(f"{way}.ids").alias("ids"), F.col(f"{way}.rels").alias("rels")).alias("way")
+
+    # durable levels: small ones are sent to the edges, which then need not move
+    levels = {True: durable(begin(starts), "front"), False: durable(begin(ends), "front")}
+    seen = {side: level.select(*key, "node") for side, level in levels.items()}
     open_requests, found = starts.select(*key).distinct().join(ends.select(*key).distinct(), key, "left_semi"), None
+    open_requests = durable(open_requests, "open")
     for length in range(1, max_depth + 1):
-        if length % 2 == 1:
-            fwd = expand(fwd, seen_f, True, open_requests)
-            seen_f = seen_f.select(*key, "node").unionByName(fwd.select(*key, "node"))
-        else:
-            bwd = expand(bwd, seen_b, False, open_requests)
-            seen_b = seen_b.select(*key, "node").unionByName(bwd.select(*key, "node"))
-        meet = fwd.select(*key, "node", F.col("way").alias("f")).join(bwd.select(*key, "node", F.col("way").alias("g")), [*key, "node"])
-        whole = F.struct(
-            F.concat("f.ids", F.slice("g.ids", F.lit(2), F.size("g.ids"))).alias("ids"), F.concat("f.rels", "g.rels").alias("rels"))
-        hit = durable(meet.join(open_requests, key, "left_semi").groupBy(*key).agg(F.min(whole).alias("way"))
-                      .withColumn("length", F.lit(length)), "met")
+        forward = length % 2 == 1
+        # first only the ways that meet: a level is written for the requests that these do not answer
+        whole = joined(step(levels[forward], forward, open_requests), levels[not forward], seen[forward], forward)
+        hit = durable(whole.groupBy(*key).agg(F.min("way").alias("way")).select(*key, plain("way"), F.lit(length).alias("length")), "met")
         found = hit if found is None else found.unionByName(hit)
-        open_requests = open_requests.join(hit.select(*key), key, "left_anti")
         if length < max_depth:
-            open_requests = durable(open_requests, "open")
+            open_requests = durable(open_requests.join(hit.select(*key), key, "left_anti"), "open")
             if open_requests.isEmpty():
                 break
+            best = step(levels[forward], forward, open_requests).groupBy(*key, "node").agg(F.min("way").alias("way"))
+            levels[forward] = durable(best.join(seen[forward], [*key, "node"], "left_anti").select(*key, "node", plain("way")), "front")
+            seen[forward] = seen[forward].unionByName(levels[forward].select(*key, "node"))
     return found.select(*key, "length", F.col("way.ids").alias("nodes"), F.col("way.rels").alias("rels"))
 
 
@@ -298,27 +308,31 @@ def path_rows(paths: DataFrame) -> DataFrame:
 
 def impact(graph: Graph, requests: DataFrame, depth: int = 1) -> DataFrame:
     """Dependents, dependencies and, for endpoints, consumers of each named node: (name, role, node, rel_type, node_type, hop)."""
-    seeds = named(graph, requests).select("seed", "name")
+    # written, so that Spark knows how few they are; an endpoint is told by its id
+    ends = graph.nodes.filter("node_type = 'APIEndpoint'").select(F.col("node_id").alias("seed"), F.lit(True).alias("endpoint")).distinct()
+    seeds = durable(named(graph, requests).select("seed", "name").join(ends, "seed", "left"), "seeds")
     fwd = graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel_type")
     rev = graph.edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel_type")
-
-    def side(edges: DataFrame, role: str) -> DataFrame:
-        first = seeds.join(edges, F.col("seed") == F.col("a")).select(
-            "name", F.col("b").alias("node"), "rel_type", F.lit(1).alias("hop")).distinct()
-        if depth > 1:
-            start = seeds.select("seed", F.col("seed").alias("node"))
-            far = walk(edges.select("a", "b"), start, depth).filter("hop > 1 and node <> seed").join(seeds, "seed").select(
-                "name", "node", F.lit(None).cast("string").alias("rel_type"), "hop")
-            first = first.unionByName(far)
-        return first.withColumn("role", F.lit(role))
-
-    ends = graph.nodes.filter("node_type = 'APIEndpoint'").select(F.col("node_id").alias("seed"))
-    used = graph.edges.filter("rel_type = 'CONSUMES'").select(F.col("dst").alias("seed"), F.col("src").alias("node"))
-    cross = seeds.join(ends, "seed", "left_semi").join(used, "seed").select(
-        "name", "node", F.lit("CONSUMES").alias("rel_type"), F.lit(1).alias("hop"), F.lit("cross_repo").alias("role")).distinct()
     info = graph.nodes.select(F.col("node_id").alias("node"), "node_type")
-    return side(rev, "dependent").unionByName(side(fwd, "dependency")).unionByName(cross).join(info, "node").select(
-        "name", "role", "node", "rel_type", "node_type", "hop")
+
+    def direct(edges: DataFrame) -> DataFrame:
+        # dealt out by node, which both the grouping and the look-up of its type can use as it is: the rows move once
+        hits = seeds.join(edges, F.col("seed") == F.col("a")).select("name", F.col("b").alias("node"), "rel_type", "endpoint").repartition("node")
+        return hits.groupBy("name", "node", "rel_type").agg(F.max("endpoint").alias("endpoint")).join(info, "node")
+
+    def far(edges: DataFrame, role: str) -> DataFrame:
+        start = seeds.select("seed", F.col("seed").alias("node"))
+        reached = walk(edges.select("a", "b"), start, depth).filter("hop > 1 and node <> seed").join(seeds, "seed")
+        return reached.join(info, "node").select("name", F.lit(role).alias("role"), "node", F.lit(None).cast("string").alias("rel_type"), "node_type", "hop")
+
+    consumes = F.coalesce(F.col("endpoint") & (F.col("rel_type") == "CONSUMES"), F.lit(False))
+    dependent = F.array(F.lit("dependent"))
+    roles = F.when(consumes, F.concat(dependent, F.array(F.lit("cross_repo")))).otherwise(dependent)
+    parts = [direct(rev).withColumn("role", F.explode(roles)), direct(fwd).withColumn("role", F.lit("dependency"))]
+    rows = [df.select("name", "role", "node", "rel_type", "node_type", F.lit(1).alias("hop")) for df in parts]
+    if depth > 1:
+        rows += [far(rev, "dependent"), far(fwd, "dependency")]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def consumers_by_path(graph: Graph, texts: list[str]) -> DataFrame:
