@@ -15,7 +15,7 @@ from weftgraph.catalog.chunks import entities, node_sql, parent_sql
 from weftgraph.catalog.code import java_files, ts_files
 from weftgraph.catalog.policies import LIMITS, log
 from weftgraph.plans.scale import durable, new_path, spread
-from weftgraph.plans.views import graph_sql, sql_over, star_graph, table
+from weftgraph.plans.views import graph_sql, sql_over, star_graph, star_nodes, table
 from weftgraph.sources import audit_log, files as S, tables as T
 from weftgraph.streaming import audit as SA, limits as SL
 
@@ -74,9 +74,8 @@ def upsert_repos(spark, sf_dir):
 
 def upsert_nodes(spark, sf_dir):
     """Order components updated by the orders of odd keys, plus one new node per part."""
-    g = star_graph(spark, sf_dir)
     cols = ["repo", "node_type", "file_path", "name", "start_line", "docstring", "v"]
-    old = g.nodes.filter("node_type = 'Component'").select(*cols[:5], F.lit("old").alias("docstring"), F.lit(0).alias("v"))
+    old = star_nodes(spark, sf_dir).filter("node_type = 'Component'").select(*cols[:5], F.lit("old").alias("docstring"), F.lit(0).alias("v"))
     new = old.filter("start_line % 2 = 1").select(*cols[:5], F.repeat(F.col("name"), 300).alias("docstring"), F.lit(1).alias("v"))
     extra = table(spark, sf_dir, "part").select(F.lit("front").alias("repo"), F.lit("Component").alias("node_type"), F.col("p_brand").alias("file_path"),
                                                 F.col("p_name").alias("name"), F.col("p_size").alias("start_line"), F.lit(None).cast("string").alias("docstring"), F.col("p_partkey").cast("int").alias("v"))
