@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from weftgraph.operators import link as L
+from weftgraph.sources.store import BucketTable
 
 NODE = "node_id string, node_type string, file_path string, name string, start_line int"
 END = "struct<node_type string, file_path string, name string, line int>"
@@ -51,3 +52,11 @@ def test_edges_of_broad_specs_do_not_move(spark):
     # the first side of the union holds them: no aggregate and no exchange stands over the join that makes them
     over = found._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
     assert over.startswith("Union") and "Aggregate" not in over and "Repartition" not in over
+
+
+def test_edges_go_into_a_table_whose_props_were_never_null(spark, tmp_path):
+    old = spark.range(1).select(F.lit("a").alias("src"), F.lit("R").alias("rel_type"), F.lit("b").alias("dst"), F.create_map(F.lit("k"), F.lit("v")).alias("props"))
+    table = BucketTable.create(spark, str(tmp_path / "t"), old.schema, ["src", "rel_type", "dst"], buckets=2).upsert(old)
+    specs = spark.createDataFrame([((None, None, "n", None), "R", (None, None, "n", None), 1, {"k": "w"})], SPEC)
+    found = table.upsert(L.resolve_wildcards(specs, spark.createDataFrame([("x", "File", "f", "n", 1)], NODE)))
+    assert sorted((r["src"], r["props"]["k"]) for r in found.read().collect()) == [("a", "v"), ("x", "w")]
