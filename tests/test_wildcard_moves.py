@@ -60,3 +60,12 @@ def test_edges_go_into_a_table_whose_props_were_never_null(spark, tmp_path):
     specs = spark.createDataFrame([((None, None, "n", None), "R", (None, None, "n", None), 1, {"k": "w"})], SPEC)
     found = table.upsert(L.resolve_wildcards(specs, spark.createDataFrame([("x", "File", "f", "n", 1)], NODE)))
     assert sorted((r["src"], r["props"]["k"]) for r in found.read().collect()) == [("a", "v"), ("x", "w")]
+
+
+def test_few_broad_specs_make_their_edges_in_many_tasks(spark):
+    nodes = spark.createDataFrame([(f"f{i}", "Function", "a", f"n{i}", i) for i in range(400)], NODE)
+    broad = [((None, None, f"n{i}", None), "R", ("Function", "a", None, None), i, {"k": f"v{i}"}) for i in range(200)]
+    found = L.resolve_wildcards(spark.createDataFrame(broad, SPEC), nodes, {"twice": F.concat(F.col("props")["k"], F.col("props")["k"])})
+    counts = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 80_000 and len(counts) >= 4 and max(counts) <= 40_000
+    assert {(r["src"], r["twice"]) for r in found.filter("dst = 'f7'").collect()} == {(f"f{i}", f"v{i}v{i}") for i in range(200)}
